@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, packing
+from tracewell.llm import bpe, packing, tiff
 from tracewell.llm.runtime import table
 
 
@@ -19,7 +19,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tiff": op3_tiff,
     "op6_bpe": op6_bpe,
     "op10_packing": op10_packing,
 }
