@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, packing, tiff
+from tracewell.llm import bpe, packing, tiff, warc
 from tracewell.llm.runtime import table
 
 
@@ -23,9 +23,16 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder, least=0)
+    return warc.read_archives(spark, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op10_packing": op10_packing,
 }
 
