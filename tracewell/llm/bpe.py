@@ -18,11 +18,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +98,23 @@ def tree(symbols: Sequence[str], ranks: dict, leaf: int = LEAF, threads: int = 1
     return [t for _, _, t in parts[0]] if parts else []
 
 
+#: The published pre-token rule of vocabularies of words with ends; on Latin texts, the same for Python's own matcher.
+WORD_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+_of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\t\n\v\f\r \x85\xa0{_of('L')}{_of('N')}]+"
+LATIN = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u20ac]")
+
+
+def _char(byte: int) -> str:
+    """The character that stands for a byte: itself if it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(byte) if byte in shown else chr(256 + [b for b in range(256) if b not in shown].index(byte))
+
+
+def _bytes() -> dict[str, int]:
+    return {_char(b): b for b in range(256)}
+
+
 class SuffixBpe:
     """Encoder for a vocabulary in which the last symbol of a pre-token carries an end-of-word suffix."""
 
@@ -116,6 +135,33 @@ class SuffixBpe:
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.memo = Memo(memo)
         self.memo[""] = (b"", "")
+        self._quick(spec)
+
+    def _quick(self, spec: dict) -> None:
+        """A tiktoken twin, which takes half the time.
+
+        Its words end with byte 0, which the lowest ranks glue to the byte before it: that is the suffix.  It numbers tokens
+        by rank; ``number`` has their ids, ``shown`` their strings.  The twin is used for texts of Latin letters and common
+        marks only, on whose classes and normal forms all Unicode versions agree.
+        """
+        import tiktoken
+
+        self.twin = None
+        rules = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", [])]
+        merged = ["".join(m) for m in self.ranks]
+        if self.suffix != "</w>" or rules[:1] != [WORD_RULE] or len(set(merged)) < len(merged) or len(self.vocab.keys() - self.special.keys()) != 512 + len(merged):
+            return
+        byte = _bytes()
+        raw = lambda t: bytes(byte[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>")
+        ranks = {bytes((b, 0)): b for b in range(1, 256)} | {bytes((b,)): 100_000 + b for b in range(256)}
+        ranks |= {raw(t): 256 + i for i, t in enumerate(merged)}
+        by_raw = {raw(t): i for t, i in self.vocab.items() if t not in self.special and t != _char(0)}
+        self.number = np.zeros(100_256, np.uint32)
+        for t, r in ranks.items():
+            self.number[r] = by_raw.get(t, 0)
+        self.shown = [self.name[i] for i in range(len(self.name))]
+        self.words = re.compile(WORDS)
+        self.twin = tiktoken.Encoding("twin", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, piece: str) -> list[int]:
         """Of a text without long unsplit parts by the library, else by tree concatenation."""
@@ -155,7 +201,14 @@ class SuffixBpe:
 
         No pre-token holds white space, and no normal form composes over a space or line feed, so both are safe cuts.
         """
-        pieces = (text or "").replace("\n", " ").split(" ")
+        text = text or ""
+        if self.twin is not None and (text.isascii() or not LATIN.search(text)) and "\0" not in text and not (self.specials and self.specials.search(text)):
+            words = self.words.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+            if words and max(map(len, words)) < self.long // 2:
+                ids = self.number[self.twin.encode_ordinary("\0".join(words) + "\0")]
+                shown = self.shown
+                return ids.tobytes(), " ".join([shown[i] for i in ids.tolist()])
+        pieces = text.replace("\n", " ").split(" ")
         found = list(map(self.memo.get, pieces))
         if None in found:
             new = self.fill([p for p, v in zip(pieces, found, strict=True) if v is None])
@@ -193,9 +246,7 @@ class SpaceBpe:
         plain = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]
         self.fast = None
         if plain and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(vocab) == 256 + len(merges):
-            # Printable bytes stand for themselves, the others for the characters from 256 on.
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+            byte = _bytes()
             ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
             self.fast = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
