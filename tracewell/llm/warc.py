@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.runtime import shared_dir
 
-ROLL, SHARD, BUCKETS = 32 << 20, 128 << 20, 16_384
+ROLL, SHARD, BUCKETS = 16 << 20, 24 << 20, 65_536
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "file string, bytes long, sha256 string, records long, first_id long, last_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -222,7 +222,7 @@ def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -
                 if rows:
                     yield made(rows)
 
-    return manifest.repartition(F.col("file")).mapInArrow(work, RECORD)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(work, RECORD)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
