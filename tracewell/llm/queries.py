@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, packing, tiff, warc
+from tracewell.llm import bpe, packing, simhash, tiff, warc
 from tracewell.llm.runtime import table
 
 
@@ -19,6 +20,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, d=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_tiff": op3_tiff,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
