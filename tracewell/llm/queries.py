@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, packing, simhash, tiff, warc
+from tracewell.llm import bpe, packing, pii, simhash, tiff, warc
 from tracewell.llm.runtime import table
 
 
@@ -16,6 +16,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("spans"), pii.KINDS).alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
