@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, packing, pii, simhash, tiff, warc
+from tracewell.llm import bpe, fingerprint, packing, pii, simhash, tiff, warc
 from tracewell.llm.runtime import table
 
 
@@ -16,6 +16,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def _is(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
