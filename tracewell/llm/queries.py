@@ -8,10 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, fingerprint, packing, pii, simhash, tiff, warc
+from tracewell.llm import bpe, fingerprint, language, packing, pii, quality, simhash, tiff, warc
 from tracewell.llm.runtime import table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same method where markup and addresses speak too."""
+    model = language.train(table(spark, sf_dir, "documents"))
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    return language.identify(pages, model, "page_id", "text", "host", "suffix", "markup")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,6 +70,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_tiff": op3_tiff,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "language_of_pages": language_of_pages,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_fingerprint": op8_fingerprint,
