@@ -50,33 +50,47 @@ def digests(text: str) -> np.ndarray:
     return np.unique(np.array(out, np.uint64))
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    """A published 64-bit finaliser (splitmix)."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64((seed * 0x9E3779B97F4A7C15) & _MASK)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+_A, _B, _C = np.uint64(30), np.uint64(27), np.uint64(31)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _seeds(round_: int) -> np.ndarray:
+    return np.array([[(s * 0x9E3779B97F4A7C15) & _MASK] for s in (3 * round_ + 1, 3 * round_ + 2, 3 * round_ + 3, 99)], np.uint64)
+
+
+def _mix(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A published 64-bit finaliser (splitmix), one row for each seed: the three cells' and the check."""
+    x = keys + seeds
+    x = (x ^ (x >> _A)) * _M1
+    x = (x ^ (x >> _B)) * _M2
+    return x ^ (x >> _C)
 
 
 class Sketch:
-    """Cells in three parts; each digest has one cell in each."""
+    """Cells in three parts; each digest has one cell in each.  ``signs``: -1 for digests that are subtracted."""
 
-    def __init__(self, keys: np.ndarray, cells: int, round_: int = 0):
+    def __init__(self, keys: np.ndarray, cells: int, round_: int = 0, signs: np.ndarray | None = None):
         self.third, self.round = max(1, cells // 3), round_
+        self.seeds = _seeds(round_)
         n = 3 * self.third
         self.count = np.zeros(n, np.int64)
         self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         if len(keys):
-            check = _mix(keys, 99)
-            for j in range(3):
-                at = self.cells_of(keys, j)
-                np.add.at(self.count, at, 1)
-                np.bitwise_xor.at(self.keys, at, keys)
-                np.bitwise_xor.at(self.checks, at, check)
-
-    def cells_of(self, keys: np.ndarray, j: int) -> np.ndarray:
-        return (_mix(keys, 3 * self.round + j + 1) % np.uint64(self.third)).astype(np.int64) + j * self.third
+            at, check = self.places(keys)
+            if signs is None:
+                self.count += np.bincount(at, minlength=n)
+            else:
+                self.count += np.bincount(at, np.tile(signs, 3), n).astype(np.int64)
+            np.bitwise_xor.at(self.keys, at, np.tile(keys, 3))
+            np.bitwise_xor.at(self.checks, at, np.tile(check, 3))
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of digests, part by part, and their checks."""
+        mixed = _mix(keys, self.seeds)
+        at = (mixed[:3] % np.uint64(self.third)).astype(np.int64)
+        at[1] += self.third
+        at[2] += 2 * self.third
+        return at.ravel(), mixed[3]
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(np.zeros(0, np.uint64), 3 * self.third, self.round)
@@ -90,16 +104,20 @@ class Sketch:
         theirs: list[np.ndarray] = []
         while True:
             pure = np.flatnonzero(np.abs(count) == 1)
-            pure = pure[_mix(keys[pure], 99) == checks[pure]]
             if not len(pure):
                 break
             found, first = np.unique(keys[pure], return_index=True)
-            sign = count[pure[first]]
-            for j in range(3):
-                at = self.cells_of(found, j)
-                np.subtract.at(count, at, sign)
-                np.bitwise_xor.at(keys, at, found)
-                np.bitwise_xor.at(checks, at, _mix(found, 99))
+            pure = pure[first]
+            at, check = self.places(found)
+            good = check == checks[pure]
+            if not good.all():
+                if not good.any():
+                    break
+                found, pure, check, at = found[good], pure[good], check[good], at.reshape(3, -1)[:, good].ravel()
+            sign = count[pure]
+            count -= np.bincount(at, np.tile(sign, 3), len(count)).astype(np.int64)
+            np.bitwise_xor.at(keys, at, np.tile(found, 3))
+            np.bitwise_xor.at(checks, at, np.tile(check, 3))
             mine.append(found[sign > 0])
             theirs.append(found[sign < 0])
         if count.any() or keys.any() or checks.any():
@@ -113,15 +131,23 @@ class Sketch:
 
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, base: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only ``a`` and only ``b`` have, from sketches.  The second try has room for all of both."""
-    round_ = 0
-    while True:
-        one, two = base if base and not round_ else (Sketch(a, cells, round_), Sketch(b, cells, round_))
+    """Digests that only ``a`` and only ``b`` have, from sketches.
+
+    The second try has room for all of both.  Sketches are linear, so a larger one of the difference is made in one go.  A
+    difference of over twice the cells in counts alone can't be peeled and isn't tried.
+    """
+    if abs(len(a) - len(b)) <= 2 * cells:
+        one, two = base or (Sketch(a, cells), Sketch(b, cells))
         found = one.minus(two).peel()
         if found is not None:
             return found
-        cells = max(2 * cells, 3 * (len(a) + len(b)) // 2 + 9 if not round_ else 0)
-        round_ += 1
+    keys, signs = np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))])
+    cells, round_ = max(2 * cells, 4 * len(keys) + 9), 1
+    while True:
+        found = Sketch(keys, cells, round_, signs).peel()
+        if found is not None:
+            return found
+        cells, round_ = 2 * cells, round_ + 1
 
 
 def likeness(a: np.ndarray, b: np.ndarray, base: tuple[Sketch, Sketch] | None = None, cells: int = CELLS) -> float:
