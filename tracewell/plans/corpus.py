@@ -69,3 +69,28 @@ def documents(rows: DataFrame, key: str = "doc_id", text: str = "text", referenc
 
 def corpus(orders: DataFrame) -> DataFrame:
     return documents(texts(orders))
+
+
+def mails(orders: DataFrame) -> DataFrame:
+    """One e-mail for each order, as documents with header fields and located addresses."""
+    from tracewell.functions.text import normalize_newlines, offset_transitions
+    from tracewell.model import SEGMENT
+    from tracewell.operators.evidence import HEADER_PLACE
+
+    rows = with_names(orders)
+    address = lambda name, host: F.concat(F.lit("u"), F.lower(F.replace(name, F.lit(" "), F.lit("."))), "number", F.lit(f"@{host}.example"))
+    rows = rows.withColumns({"a": address(F.col("person"), "left"), "b": address(F.col("other"), "right"), "said": F.date_format("day", "yyyy-MM-dd")})
+    parts = [("from", F.concat("person", F.lit(" <"), "a", F.lit(">"))), ("to", F.concat("other", F.lit(" <"), "b", F.lit(">"))), ("date", F.col("said"))]
+    text, at, segments, places = F.lit(""), F.lit(0), [], []
+    for i, (field, value) in enumerate(parts):
+        label = f"{field.title()}: "
+        text = F.concat(text, F.lit(("\r\n" if i else "") + label), value)
+        start = at + len(label) + (2 if i else 0)
+        at = start + F.length(value)
+        segments.append(F.struct(F.lit("field").alias("kind"), start.alias("raw_start"), at.alias("raw_end"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("int").alias("sentence"), F.lit(field).alias("field"), F.lit(None).cast("string").alias("label")))
+        if field != "date":
+            name, mail = ("person", "a") if field == "from" else ("other", "b")
+            places.append(F.struct(F.lit(field).alias("field"), start.alias("name_start"), (start + F.length(name)).alias("name_end"), (start + F.length(name) + 2).alias("address_start"), (at - 1).alias("address_end"), F.col(mail).alias("address")))
+    rows = rows.withColumns({"raw_text": text, "segments": F.array(*segments).cast(f"array<{SEGMENT}>"), "header_places": F.array(*places).cast(HEADER_PLACE)})
+    digest = F.sha2(F.col("raw_text"), 256)
+    return rows.select("doc_id", stable_id("doc", F.col("doc_id"), digest).alias("id"), digest.alias("content_sha256"), F.lit("message/rfc822").alias("media_type"), "raw_text", normalize_newlines(F.col("raw_text")).alias("normalized_text"), offset_transitions(F.col("raw_text")).alias("offset_transitions"), "segments", "header_places", F.col("said").alias("reference"))
