@@ -125,7 +125,7 @@ e AS (SELECT doc_id, hits, gaps, unnest(generate_series(1, len(hits))) AS i FROM
 SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, hits[i] AS surface, 'email:' || lower(hits[i]) AS normalized
 FROM e WHERE NOT regexp_matches(gaps[i + 1], '^[\\w.-]') AND NOT regexp_matches(gaps[i], '[\\w.+-]$')""",
     "corpus_mentions": _with(MENTIONS) + " SELECT doc_id, entity_type, start, surface, score, normalized FROM mentioned",
-    "temporals": _with(DATES) + " SELECT doc_id, CAST(place AS INTEGER) AS "at", original, first, last, precision, is_relative, true AS resolved, CAST(score AS DOUBLE) AS score FROM told",
+    "temporals": _with(DATES) + " SELECT doc_id, CAST(place AS INTEGER) AS \"at\", original, first, last, precision, is_relative, true AS resolved, CAST(score AS DOUBLE) AS score FROM told",
     "claims": _with(CLAIMS) + " SELECT doc_id, kind, predicate, polarity, modality, CAST(score AS DOUBLE) AS score, n_dates, parties FROM claimed",
     "claims_summary": _with(CLAIMS) + " SELECT kind, predicate, polarity, modality, count(*) AS n FROM claimed GROUP BY ALL",
     "claims_email": f"""
