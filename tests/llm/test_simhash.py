@@ -106,3 +106,48 @@ def test_thresholds_sum():
         np.fill_diagonal(both, p)
         groups, thresholds = simhash.allocate(n, both)
         assert sum(thresholds) == 4 - len(groups) + 1 and sorted(b for g in groups for b in g) == list(range(64))
+
+
+def shingles(text, words=5):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def test_similarity_finds_all_near_copies(spark):
+    """Against brute force: texts of a similarity of 0.8 or more are together, a cluster of near copies too, unlike texts apart."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for base in range(12):
+        words = list(rng.choice(vocabulary, int(rng.integers(60, 400))))
+        texts.append(" ".join(words))
+        for changes in (1, 1, 2, 3, 6, 30):
+            changed = list(words)
+            for i in rng.choice(len(words), min(changes, len(words) // 2), replace=False):
+                changed[i] = "x" + str(rng.integers(10**6))
+            texts.append(" ".join(changed))
+    texts += [None, "", "   ", "one two", "one two", "one two three"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, words=5, similarity=0.8).collect()}
+    sets = [shingles(t) for t in texts]
+    likely, apart = 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] or sets[j]:
+                same = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if same >= 0.84:
+                    assert got[i] == got[j]
+                    likely += 1
+                if same < 0.05:
+                    assert got[i] != got[j]
+                    apart += 1
+    assert likely > 60 and apart > 1000
+    assert got[84] == got[85] == got[86] == 84
+
+
+def test_buckets_and_likeness():
+    a = np.frombuffer(simhash.signature(simhash.sketched("a b c d e f g h i j", 5)[1]), "<u2").reshape(1, -1)
+    b = np.frombuffer(simhash.signature(simhash.sketched("a b c d e f g h i k", 5)[1]), "<u2").reshape(1, -1)
+    assert simhash.likeness(a, a)[0] == 1 and 0.6 < simhash.likeness(a, b)[0] < 0.8
+    assert (simhash.buckets(a) == simhash.buckets(a.copy())).all() and simhash.buckets(a).shape == (1, 32)
+    assert (simhash.buckets(a) == simhash.buckets(b)).any()
