@@ -18,9 +18,9 @@ language is known, and nothing is rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,27 +39,39 @@ DECLARED, SUFFIXED, ABOVE = 0.8, 0.6, 8.0
 SMALL = 20_000
 #: Country suffixes of addresses and the languages that they speak for.
 SUFFIX_LANGUAGE = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
-    """Log-likelihoods of trigrams by language, and of those that no language has."""
+    """Log-likelihoods of trigrams by language; ``codes`` are sorted, the last row is that of trigrams no language has."""
 
     languages: list[str]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
+    codes: np.ndarray
+    rows: np.ndarray
 
 
-def trigrams(word: str) -> list[str]:
-    w = f"^{word[:64]}$"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point whether it is a letter: a word's characters without decimal digits and underscores."""
+    return np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)])
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Codes of the letter trigrams of a text's words in lower case; a word's ends count as letters of their own.
+
+    Each letter is the middle of one trigram.
+    """
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = _letters()[points]
+    points[~letter] = 0
+    middle = np.flatnonzero(letter)
+    return points[middle - 1] << 42 | points[middle] << 21 | points[middle + 1]
 
 
 def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     rows = docs.where(F.col(label).isNotNull() & F.coalesce(fold(F.col(key)) != 0, F.lit(True)))
     languages = sorted(r.l for r in rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
     if not languages:
-        return Model([], {}, np.zeros(0))
+        return Model([], np.zeros(0, np.int64), np.zeros((1, 0)))
     ids = rows.select(F.col(key).alias("key"), F.col(label).alias("label"))
     order = [F.xxhash64(F.col("key").cast("string")), F.col("key")]
     sample = None
@@ -74,46 +86,38 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
         counts: dict[str, Counter] = {}
         for batch in batches:
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mine = counts.setdefault(language, Counter())
-                for word, n in Counter(_WORD.findall((value.as_py() or "").lower())).items():
-                    for g in trigrams(word):
-                        mine[g] += n
+                codes, n = np.unique(trigrams(value.as_py() or ""), return_counts=True)
+                counts.setdefault(language, Counter()).update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
         flat = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate([pa.string(), pa.string(), pa.int64()])], ["l", "g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate([pa.string(), pa.int64(), pa.int64()])], ["l", "g", "n"])
 
-    found = chosen.mapInArrow(work, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).collect()
+    found = chosen.mapInArrow(work, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     number = {x: i for i, x in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for r in found:
-        counts.setdefault(r.g, np.zeros(len(languages)))[number[r.l]] += r.n
-    total = sum(counts.values(), np.zeros(len(languages)))
-    size = total + 0.5 * (len(counts) + 1)
-    return Model(languages, {g: np.log((c + 0.5) / size) for g, c in counts.items()}, np.log(0.5 / size))
+    codes, at = np.unique(np.array(found["g"], np.int64), return_inverse=True)
+    counts = np.zeros((len(codes), len(languages)))
+    np.add.at(counts, (at, [number[x] for x in found["l"]]), found["n"])
+    size = counts.sum(axis=0) + 0.5 * (len(codes) + 1)
+    return Model(languages, codes, np.log((np.concatenate([counts, np.zeros((1, len(languages)))]) + 0.5) / size))
 
 
-def likelihood(text: str | None, model: Model, memo: dict[str, tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
+def likelihood(text: str | None, model: Model, chunk: int = 1 << 20) -> tuple[np.ndarray, int]:
     """Log-likelihoods of a text's languages, the best at 0, and its number of trigrams."""
-    counts = Counter(_WORD.findall((text or "").lower()))
-    if not counts or not model.languages:
+    text = text or ""
+    total, size, k = np.zeros(len(model.languages)), 0, len(model.codes)
+    start = 0
+    while start < len(text) and k:
+        end = min(len(text), start + chunk)
+        while end < len(text) and text[end - 1].isalnum():  # not within a word
+            end += 1
+        codes = trigrams(text[start:end])
+        at = np.minimum(np.searchsorted(model.codes, codes), k - 1)
+        at[model.codes[at] != codes] = k
+        total += np.bincount(at, minlength=k + 1) @ model.rows if len(at) > k else model.rows[at].sum(axis=0)
+        start, size = end, size + len(codes)
+    if not size:
         return np.zeros(len(model.languages)), 0
-    vectors, sizes = [], []
-    for word in counts:
-        known = memo.get(word)
-        if known is None:
-            grams = trigrams(word)
-            known = (sum([model.grams.get(g, model.unseen) for g in grams], np.zeros(len(model.languages))), len(grams))
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[word] = known
-        vectors.append(known[0])
-        sizes.append(known[1])
-    n = np.fromiter(counts.values(), np.float64, len(counts))
-    size = float(n @ np.array(sizes))
-    out = (n @ np.array(vectors)) * (min(size, WEIGHT) / size)
-    return out - out.max(), int(size)
-
-
-_MEMO: dict = {}
+    out = total * (min(size, WEIGHT) / size)
+    return out - out.max(), size
 
 
 def with_likelihood(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, name: str = "_ll", size: str = "_grams") -> DataFrame:
@@ -125,11 +129,8 @@ def with_likelihood(docs: DataFrame, model: Model, text: str = "text", columns:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if _MEMO.get("model") is not model:
-            _MEMO.clear()
-            _MEMO.update(model=model, words={})
         for batch in batches:
-            found = [likelihood(t.as_py(), model, _MEMO["words"]) for t in batch.column(len(kept))]
+            found = [likelihood(t.as_py(), model) for t in batch.column(len(kept))]
             extra = [pa.array([v for v, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *extra], [*kept, name, size])
 
