@@ -154,13 +154,13 @@ def test_dates(spark, value, reference, want):
 
 
 def test_sentence_scope_of_dates(spark):
-    x = one(spark, "In 1990 rain fell. Alice Smith paid Invoice #123 on March 3, 2024! It was 2001. In 2002 snow fell.")
+    x = one(spark, "In 1990 rain fell.\nAlice Smith paid Invoice #123 on March 3, 2024! It was 2001. In 2002 snow fell.")
     (claim,) = x.found_claims
     assert [t.expression.original_text for t in claim.temporals] == ["March 3, 2024", "2001"]
 
 
 def test_evidence_of_raw_text(spark):
-    raw = "First line.\r\n\r\nAlice  Smith paid Invoice #123.\r\n"
+    raw = "First line.\r\n\r\nAlice  Smith paid Invoice #123. Rain fell.\r\n"
     docs = corpus.documents(spark.createDataFrame([(1, raw, None)], "doc_id long, text string, reference string"))
     x = ev.extract_documents(docs)
     rows = ev.mention_records(x).select("text", "evidence.*").collect()
