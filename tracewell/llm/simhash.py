@@ -47,6 +47,8 @@ BINS, RUN = 256, 8
 #: How many bits of a bin's value are compared, and the words of all those bits with the one that tells whether it is filled.
 BITS = 8
 PLANES = 4 * (BITS + 1)
+#: Rows whose signatures are worked on at once.
+SLICE = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -349,15 +351,17 @@ def similar_links(nodes: DataFrame, groups: DataFrame, similarity: float, near:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                names = buckets(_signatures(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), names.shape[1]))], ["k", "fp"])
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                names = buckets(_signatures(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), names.shape[1]))], ["k", "fp"])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                words = planes(_signatures(batch.column(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), PLANES).cast(pa.list_(pa.int64()))], ["fp", "s"])
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                words = planes(_signatures(part.column(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), PLANES).cast(pa.list_(pa.int64()))], ["fp", "s"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLANES), np.uint64)]
