@@ -153,3 +153,26 @@ def test_buckets_and_likeness():
     assert simhash.plane_likeness(x, x)[0] == 1 and simhash.plane_likeness(x, y)[0] == pytest.approx(5 / 7)
     assert (simhash.buckets(a) == simhash.buckets(a.copy())).all() and simhash.buckets(a).shape == (1, 32)
     assert (simhash.buckets(a) == simhash.buckets(b)).any()
+
+
+def test_links_are_exact_around_the_similarity(spark):
+    """Pairs of long texts at 0.8 or a little more link, pairs just below don't; nor do texts of equal fingerprints and other shingles."""
+    texts, want = [], []
+    for pair in range(60):
+        # Two sets of n shingles with m in common: two blocks of words, the second of which differs.
+        same, n = (802, 1000) if pair % 2 else (798, 1000)
+        common = [f"p{pair}w{i}" for i in range(same - 1)]
+        m = len(common) - 4
+        own = round(m / 0.8 - m) // 2
+        extra = own if pair % 2 else own + 6
+        for side in "xy":
+            texts.append(" ".join(common + [f"p{pair}{side}{i}" for i in range(extra)]))
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        assert abs(len(a & b) / len(a | b) - 0.8) < 0.015
+    assert 20 < sum(want) < 40
+    texts += ["a b c d e f", "a b c d e f a b c d e f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, words=5, similarity=0.8).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(60)] == want
+    assert got[120] != got[121]

@@ -13,12 +13,13 @@ Copies and dense groups: equal fingerprints are one node.  Before the probes, fi
 and near neighbours in that order that link are contracted; probes then look only for links between different contracted
 groups, so a group of thousands of near copies doesn't emit its pairs, and no link between groups is lost.
 
-Where links are asked for by ``similarity`` (of the sets of word shingles) too, bits aren't enough: at a similarity of 0.8 two
-fingerprints differ in some ten of 64 bits, for which partitions select hardly anything.  Each fingerprint then also bears the least
-hash of each of ``BINS`` bins of its shingles.  Runs of bins name buckets; within a bucket members are compared with their neighbours,
-what links is contracted, and members of different contracted groups that are left in one bucket are compared pair by pair.
-Two texts link if at least that share of the bins that either fills agree.  Texts of few shingles fill a bin with each, so for them
-this is the similarity itself; for long ones it is an estimate with a standard error below 0.03 (bins are compared by eight bits).
+Where links are asked for by ``similarity`` (of the sets of word shingles) bits aren't enough: at a similarity of 0.8 two
+fingerprints differ in some ten of 64 bits, for which partitions select hardly anything.  Texts of equal sets of hashed shingles are
+then one node, and two nodes link exactly if their sets' similarity is at least that; the fingerprints' distance doesn't link.
+Candidates come from a sketch, the least hash of each of ``BINS`` bins of a set: runs of ``SHORT`` bins name buckets, and members of one bucket
+whose sketches are alike by ``LOOSE`` or more are compared by their sets.  Neighbours in large buckets are compared first and what links
+is contracted, so that a group of thousands of near copies doesn't emit its pairs; then all pairs of different groups are.  At a
+similarity of 0.8 long texts miss all 51 buckets with a probability of 2e-9 and ``LOOSE`` is six standard errors below.
 
 Null and blank texts have fingerprint zero and link like others.  A text of fewer words than a shingle has its whole
 sequence as the only shingle.  A null id never becomes a component's id unless the component has no other.  Rows may repeat.
@@ -44,6 +45,13 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 PROBE, CANDIDATE, NEAR = 1.0, 0.05, 128
 #: Bins of a similarity sketch, and how many neighbouring ones name a bucket.
 BINS, RUN = 256, 8
+#: How many bins name a bucket where candidates are verified, the likeness of sketches from which they are, and how many bits of a bin's
+#: value it is taken from (fewer bits let more candidates through, never fewer).
+SHORT, LOOSE, FEW = 5, 0.65, 3
+#: How many neighbours are compared first, in buckets of more members than DENSE, and the number of links from which they are once more.
+WINDOW, DENSE, AGAIN = 2, 8, 1000
+#: Bits of the filter by which the rows are chosen whose sets are made (at most; a false hit costs a row, no result).
+FILTER = 1 << 27
 #: How many bits of a bin's value are compared, and the words of all those bits with the one that tells whether it is filled.
 BITS = 8
 PLANES = 4 * (BITS + 1)
@@ -52,8 +60,11 @@ SLICE = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketched(text: str | None, words: int = WORDS, seed: int = SEED, chunk: int = 1 << 16) -> tuple[int, np.ndarray]:
-    """Fingerprint and least hash of each bin of a whole text; shingles are hashed in chunks, so memory doesn't grow with the text."""
+def sketched(text: str | None, words: int = WORDS, seed: int = SEED, chunk: int = 1 << 16, sets: list | None = None) -> tuple[int, np.ndarray]:
+    """Fingerprint and least hash of each bin of a whole text; shingles are hashed in chunks, so memory doesn't grow with the text.
+
+    ``sets`` takes the distinct hashes of each chunk.
+    """
     from xxhash import xxh64_digest
 
     least = np.full(BINS, _NONE)
@@ -73,6 +84,8 @@ def sketched(text: str | None, words: int = WORDS, seed: int = SEED, chunk: int
         bins = (hashes >> np.uint64(56)).astype(np.int64)
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         least[bins[first]] = np.minimum(least[bins[first]], hashes[first])
+        if sets is not None:
+            sets.append(np.unique(hashes))
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big"), least
 
 
@@ -80,39 +93,56 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, chunk: i
     return sketched(text, words, seed, chunk)[0]
 
 
+def shingle_set(chunks: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
+
+
 def signature(least: np.ndarray) -> bytes:
     """Two bytes a bin; 0 where it is empty."""
     short = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)
     return np.where(least == _NONE, np.uint64(0), short).astype("<u2").tobytes()
 
 
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, (BINS // RUN, RUN), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, BINS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def buckets(signatures: np.ndarray) -> np.ndarray:
-    """Bucket names of rows of signatures; an empty bin takes the next filled bin's value, changed by the distance."""
+def buckets(signatures: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Bucket names of rows of signatures, one for each whole run of bins; an empty bin takes the next filled bin's value, changed by the distance."""
     n = len(signatures)
     place = np.where(signatures != 0, np.arange(BINS), 2 * BINS)
     twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     filled = np.take_along_axis(signatures, twice % BINS, axis=1).astype(np.uint64) + ((twice - np.arange(BINS)).astype(np.uint64) << np.uint64(20))
-    return (filled.reshape(n, -1, RUN) * _ODD).sum(axis=2, dtype=np.uint64).view(np.int64)
+    used = BINS // run * run
+    return (filled[:, :used] * _ODD[:used]).reshape(n, -1, run).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text", sketch: bool = False) -> DataFrame:
     """``key``, ``mark`` (a hash of the text, to tell rows of equal ids apart) and ``fp`` (the bits as a signed long).
 
-    ``sketch`` adds ``sig``, the text's signature for similarity.
+    ``sketch`` adds ``rid`` (a hash of id and text), ``node`` (a hash of the set of shingles), ``n`` (its size) and ``sig``, its signature.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sketched(t.as_py(), words) for t in batch.column(2)]
-            found = np.array([fp for fp, _ in made], np.uint64).view(np.int64)
-            more = [pa.array([signature(x) for _, x in made], pa.binary())] if sketch else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), *more], ["key", "mark", "fp", "sig"][: 3 + sketch])
+        from xxhash import xxh64_intdigest
 
-    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(work, f"key {source.schema['key'].dataType.simpleString()}, mark long, fp long" + ", sig binary" * sketch)
+        for batch in batches:
+            fps, nodes, sizes, signatures = [], [], [], []
+            for t in batch.column(3):
+                chunks = [] if sketch else None
+                fp, least = sketched(t.as_py(), words, sets=chunks)
+                fps.append(fp)
+                if sketch:
+                    hashes = shingle_set(chunks)
+                    nodes.append(xxh64_intdigest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    signatures.append(signature(least))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            more = [batch.column(2), longs(nodes), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())] if sketch else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs(fps), *more], ["key", "mark", "fp", "rid", "node", "n", "sig"][: 3 + len(more)])
+
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(work, f"key {source.schema['key'].dataType.simpleString()}, mark long, fp long" + ", rid long, node long, n long, sig binary" * sketch)
 
 
 def moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -323,90 +353,165 @@ def plane_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - apart / np.maximum(either, 1)
 
 
-def _planes_alike(s, t, similarity: float):
-    """The same as a condition on two columns."""
+def _mixed(shared: DataFrame) -> DataFrame:
+    """Members of those buckets (``k``) where different groups (``c``) meet."""
+    met = shared.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    return shared.join(met, "k")
+
+
+def _filter(rids: DataFrame) -> np.ndarray:
+    """Bits that are set for the row hashes ``rid``; of bounded size."""
+    n = rids.count()
+    size = min(FILTER, 1 << max(10, (16 * n).bit_length()))
+    at = F.pmod("rid", F.lit(size))
+    found = rids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(rid, {size}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(size >> 6, np.int64)
+    words[found["w"].to_numpy()] = found["b"].to_numpy()
+    return words.view(np.uint64)
+
+
+def shingle_sets(docs: DataFrame, rids: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """``rid`` and ``s``, the hashes of the distinct shingles, of rows that have one of the row hashes, and maybe of a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(rids))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            rid = batch.column(0).to_numpy()
+            at = rid.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+            for i in np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).tolist():
+                chunks: list[np.ndarray] = []
+                sketched(batch.column(1)[i].as_py(), words, sets=chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i : i + 1]), pa.array([shingle_set(chunks).view(np.int64)], pa.list_(pa.int64()))], ["rid", "s"])
+
+    source = docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(work, "rid long, s array<long>").dropDuplicates(["rid"])
+
+
+def _alike(s, t, n, m, similarity: float):
+    """A condition on the columns of two nodes that all pairs of the similarity meet but for chance: sizes, and ``LOOSE`` of the bins that either fills."""
     apart = either = F.lit(0)
     for w in range(4):
         x = F.get(s, F.lit(w)).bitwiseXOR(F.get(t, F.lit(w)))
-        for b in range(1, BITS + 1):
+        for b in range(1, FEW + 1):
             x = x.bitwiseOR(F.get(s, F.lit(4 * b + w)).bitwiseXOR(F.get(t, F.lit(4 * b + w))))
         apart = apart + F.bit_count(x)
-        either = either + F.bit_count(F.get(s, F.lit(4 * BITS + w)).bitwiseOR(F.get(t, F.lit(4 * BITS + w))))
-    return apart <= (1 - similarity + 1e-9) * either
+        either = either + F.bit_count(F.get(s, F.lit(4 * FEW + w)).bitwiseOR(F.get(t, F.lit(4 * FEW + w))))
+    return (F.least(n, m) >= (similarity - 1e-9) * F.greatest(n, m)) & (apart <= (1 - min(LOOSE, similarity) + 1e-9) * either)
 
 
-def _mixed(shared: DataFrame) -> DataFrame:
-    """Members of those buckets (``k``) where different groups (``c``) meet."""
-    met = shared.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-    return shared.join(met, "k")
+def sketches(nodes: DataFrame) -> DataFrame:
+    """``node``, ``rid``, ``n`` and ``s``, the words of ``FEW`` bits of the bins and of which are filled."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                words = planes(_signatures(part.column(3)))
+                words = np.concatenate([words[:, : 4 * FEW], words[:, 4 * BITS :]], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), words.shape[1]).cast(pa.list_(pa.int64()))], ["node", "rid", "n", "s"])
 
-def similar_links(nodes: DataFrame, groups: DataFrame, similarity: float, near: int = NEAR) -> DataFrame:
-    """Links of contracted groups (``a``, ``b``) whose texts' shingles are alike.  ``nodes``: fp, sig; ``groups``: fp, c.
+    return nodes.select("node", "rid", "n", "sig").mapInArrow(work, "node long, rid long, n long, s array<long>")
 
-    Members of a bucket are first compared with their neighbours in the bucket, and what links is contracted; then members of different
-    contracted groups are compared pair by pair within the join, out of which only links come.
-    """
+
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
+    """Those pairs of nodes (``a``, ``b``) whose sets of shingles have the similarity: sizes and sketches first, then the sets themselves."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    left, right = pairs.join(side("a"), "a"), side("b")
+    alike = _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity)
+    close = cut(left.join(right, (left["b"] == right["b"]) & alike).select("a", left["b"], "ra", "rb"))
+    rids = close.select(F.explode(F.array("ra", "rb")).alias("rid")).distinct()
+    sets = shingle_sets(docs, rids, words, key, text)
+    both = close.join(sets.select(F.col("rid").alias("ra"), F.col("s")), "ra").join(sets.select(F.col("rid").alias("rb"), F.col("s").alias("t")), "rb")
+    common = F.size(F.array_intersect("s", "t"))
+    return cut(both.where(common >= (similarity - 1e-9) * (F.size("s") + F.size("t") - common)).select("a", "b"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
+    """Links of nodes (``a``, ``b``), by which all nodes of the similarity are connected.  ``nodes``: node, rid, n, sig."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                names = buckets(_signatures(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), names.shape[1]))], ["k", "fp"])
+                names = buckets(_signatures(part.column(1)), SHORT)
+                yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), names.shape[1]))], ["k", "node"])
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a sorted partition that share their bucket; those at its ends may share it with another partition's."""
+        held, before = [np.zeros(0, np.int64)] * 2, None
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                words = planes(_signatures(part.column(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), PLANES).cast(pa.list_(pa.int64()))], ["fp", "s"])
+            k, node = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(k):
+                continue
+            same = np.concatenate([[before is None or before == k[0]], k[1:] == k[:-1]])
+            kept = np.flatnonzero(same[:-1] | same[1:])
+            before = k[-2] if len(k) > 1 else before
+            held = [k[-1:], node[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(k[kept]), pa.array(node[kept])], ["k", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["k", "node"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLANES), np.uint64)]
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, PLANES)]
-            keys, c, words = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            links = near_links(keys, lambda i, j, w=words: plane_likeness(w[i], w[j]) >= similarity - 1e-9, near)
-            held = [keys[-near:], c[-near:], words[-near:]]
-            if links:
-                at = np.array(links)
-                yield pa.RecordBatch.from_arrays([pa.array(c[at[:, 0]]), pa.array(c[at[:, 1]])], ["a", "b"])
-
-    filled = nodes.where("fp <> 0").select("fp", "sig")
-    rows = filled.mapInArrow(spread, "k long, fp long")
-    several = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    words = filled.mapInArrow(flat, "fp long, s array<long>")
-    shared = cut(_mixed(rows.join(several, "k").join(groups, "fp").select("k", "fp", "c")))
-    dealt = shared.join(words, "fp").repartitionByRange(parts, "k", "fp").sortWithinPartitions("k", "fp").select("k", "c", "s")
-    found = cut(dealt.mapInArrow(neighbours, "a long, b long").distinct())
-    named = components(found).select(F.col("node").alias("c"), "root")
-    left = cut(_mixed(shared.join(named, "c", "left").select("k", "fp", F.coalesce("root", "c").alias("c"))).join(words, "fp").select("k", "fp", "c", "s"))
-    right = left.select("k", F.col("fp").alias("fp2"), F.col("c").alias("b"), F.col("s").alias("t"))
-    rest = left.join(right, (left.k == right.k) & (F.col("fp") < F.col("fp2")) & (F.col("c") != F.col("b")) & _planes_alike(F.col("s"), F.col("t"), similarity)).select(F.col("c").alias("a"), "b").distinct()
-    return found.unionByName(rest)
+            k, node, c = [np.concatenate([h, x.to_numpy()]) for h, x in zip(held, batch.columns, strict=True)]
+            i = np.arange(max(0, len(k) - DENSE))
+            i = i[k[i] == k[i + DENSE]]
+            for s in range(1, WINDOW + 1):
+                j = i[c[i] != c[i + s]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[j + s])), pa.array(np.maximum(node[j], node[j + s]))], ["a", "b"])
+            held = [x[-DENSE:] for x in (k, node, c)]
+
+    known = cut(sketches(nodes))
+    rows = nodes.where("n > 0").select("node", "sig").mapInArrow(spread, "k long, node long")
+    rows = rows.repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(several, "k long, node long")
+    left = cut(rows.withColumn("c", F.col("node")))
+    links = None
+
+    def contracted(found: DataFrame) -> DataFrame:
+        """What is left after the links: buckets where different groups meet."""
+        named = components(found).select("node", "root")
+        return cut(_mixed(left.select("k", "node").join(named, "node", "left").select("k", "node", F.coalesce("root", "node").alias("c"))))
+
+    turn = 0
+    while True:
+        dealt = left.select("k", "node", "c", F.xxhash64("node", "k", F.lit(turn)).alias("o")).repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
+        found = verified(dealt.select("k", "node", "c").mapInArrow(neighbours, "a long, b long").distinct(), known, docs, similarity, words, key, text)
+        n, turn = found.count(), turn + 1
+        links = found if links is None else links.unionByName(found)
+        left = contracted(links)
+        if n < AGAIN:
+            break
+    sketch = known.select("node", "n", "s")
+    left = left.join(sketch, "node").select("k", "node", "c", "n", "s")
+    right = left.select(F.col("k").alias("k2"), F.col("node").alias("b"), F.col("c").alias("c2"), F.col("n").alias("m"), F.col("s").alias("t"))
+    rest = left.join(right, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("c2")) & _alike(F.col("s"), F.col("t"), F.col("n"), F.col("m"), similarity))
+    return links.unionByName(verified(rest.select(F.col("node").alias("a"), "b").distinct(), known, docs, similarity, words, key, text))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, d: int = DISTANCE, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """``key``, ``mark``, ``fp`` and ``component_id`` (the smallest id that links reach) of every row.
 
-    Fingerprints link at ``d`` or fewer bits, and, if given, at a similarity of their word shingles.
+    Fingerprints link at ``d`` or fewer bits or, if it is given, texts at a similarity of their sets of word shingles instead.
     """
     rows = cut(fingerprints(docs, words, key, text, similarity is not None))
-    nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("rep"), *([F.min("sig").alias("sig")] if similarity is not None else [])))
-    n, both = moments(nodes)
-    groups, thresholds = allocate(n, both, d)
-    near = components(contract(nodes, groups, d))
-    named = cut(nodes.select("fp", "rep").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("c")))
-    links = probe_links(named.select("fp", "c"), groups, thresholds, d)
+    node = "fp" if similarity is None else "node"
     if similarity is not None:
-        links = links.unionByName(similar_links(nodes, named.select("fp", "c"), similarity))
+        nodes = cut(rows.groupBy("node").agg(F.min("key").alias("rep"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("sig").alias("sig")))
+        named, links = nodes.select("node", "rep", F.col("node").alias("c")), similar_links(nodes, docs, similarity, words, key, text)
+    else:
+        nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("rep")))
+        n, both = moments(nodes)
+        groups, thresholds = allocate(n, both, d)
+        near = components(contract(nodes, groups, d))
+        named = cut(nodes.select("fp", "rep").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("c")))
+        links = probe_links(named.select("fp", "c"), groups, thresholds, d)
     far = components(links)
-    whole = named.join(far.withColumnRenamed("node", "c"), "c", "left").select("fp", "rep", F.coalesce("root", "c").alias("c"))
+    whole = named.join(far.select(F.col("node").alias("c"), "root"), "c", "left").select(node, "rep", F.coalesce("root", "c").alias("c"))
     least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    ids = whole.join(least, "c").select("fp", "component_id")
-    return rows.join(ids, "fp").select(F.col("key").alias(key), "mark", "fp", "component_id")
+    ids = whole.join(least, "c").select(node, "component_id")
+    return rows.select("key", "mark", "fp", *[node] * (node != "fp")).join(ids, node).select(F.col("key").alias(key), "mark", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
