@@ -70,3 +70,20 @@ def test_propagation_follows_the_definition(spark):
     b = (a * 3 // 4 + c) * 85 // 100
     assert got["a"][0] == a and abs(got["c"][0] - c) <= 1 and abs(got["b"][0] - b) <= 2
     assert got["b"][1] == a and got["c"][1] > 0 and got["a"][1] > got["c"][1]
+
+
+def test_registered_query_settles(spark, tmp_path):
+    """A chain beyond eight links into a cycle of two, against the same rounds in Python until nothing changes."""
+    from tracewell.llm.queries import op1_url_filter
+
+    hosts = ["example.net", *[f"h{i}.org" for i in range(12)]]
+    links = {a: [b] for a, b in zip(hosts, hosts[1:], strict=False)} | {hosts[-1]: [hosts[-2]]}
+    pages = [(i, f"http://{h}/en/", "".join(f'<a href="http://{x}/">' for x in links[h])) for i, h in enumerate(hosts)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x.host: x.trust for x in op1_url_filter(spark, str(tmp_path)).collect()}
+    seed = {h: uf.UNIT * (h == "example.net") for h in hosts}
+    trust, before = {h: v * 15 // 100 for h, v in seed.items()}, None
+    while trust != before:
+        before = trust
+        trust = {h: (seed[h] * 15 + sum(before[a] for a in hosts if h in links[a]) * 85) // 100 for h in hosts}
+    assert got == trust and min(trust.values()) > 0

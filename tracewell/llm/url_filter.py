@@ -7,7 +7,9 @@ starts in proportion to the share that rules block and flows against links, to w
 if its distrust is above its trust and at least ``THRESHOLD`` of what full blocking gives without any link.
 
 Edges are counted links between different hosts.  All values are whole numbers (shares of ``UNIT``, divisions rounded down),
-so results don't depend on the order of sums.  Rounds stop when nothing changes, or after ``ROUNDS``; each is checkpointed.
+so results don't depend on the order of sums.  Rounds go on until nothing changes, and each is checkpointed.  Values never fall and are
+bounded, so they settle; that they haven't after ``LIMIT`` rounds is an error.  Only who gives ``rounds`` gets the values after so many:
+``ROUNDS`` is what the SQL unrolls, which is the whole result on graphs that settle by then.
 
 A null URL, or one without ``://``, has an empty host and path; no rule with a host fits it and it is allowed.  Null html has no links.
 Rows may repeat, other columns are never read, and an empty table gives no rows.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.runtime import cut
 
 UNIT, FOLLOW, ROUNDS, THRESHOLD = 10**9, 85, 8, 50
+LIMIT = 2000
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: More rules than this are joined instead of written into the plan.
 INLINE = 200
@@ -79,8 +82,8 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.select("src", F.translate("link", _UPPER, _LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, follow: int = FOLLOW) -> DataFrame:
-    """``host, trust, distrust``.  ``seeds``: host, trust0, distrust0."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, follow: int = FOLLOW) -> DataFrame:
+    """``host, trust, distrust``, settled or after ``rounds``.  ``seeds``: host, trust0, distrust0."""
     edges = cut(edges)
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("total"))
@@ -92,18 +95,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, follow:
     rest = 100 - follow
     state = seeds.select("host", "trust0", "distrust0", F.expr(f"trust0 * {rest} div 100").alias("trust"), F.expr(f"distrust0 * {rest} div 100").alias("distrust"))
     mark = None
-    for _ in range(rounds):
+    for _ in range(LIMIT if rounds is None else rounds):
         sent = state.select("host", "trust", "distrust").join(flows, F.col("host") == F.col("a")).select(F.col("b").alias("host"), F.expr("cast(if(forth, trust, 0) as decimal(38,0)) * cast(w as decimal(20,0)) div cast(total as decimal(20,0))").alias("t"), F.expr("cast(if(forth, 0, distrust) as decimal(38,0)) * cast(w as decimal(20,0)) div cast(total as decimal(20,0))").alias("d"))
         got = sent.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         state = cut(seeds.join(got, "host", "left").select("host", "trust0", "distrust0", F.expr(f"(trust0 * {rest} + coalesce(t, 0) * {follow}) div 100").alias("trust"), F.expr(f"(distrust0 * {rest} + coalesce(d, 0) * {follow}) div 100").alias("distrust")))
         before, mark = mark, tuple(state.agg(F.sum("trust"), F.sum("distrust"), F.sum(F.xxhash64("host", "trust", "distrust").cast("decimal(38,0)"))).first())
         if mark == before:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust and distrust haven't settled after {LIMIT} rounds")
     return state.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html", rounds: int = ROUNDS, threshold: int = THRESHOLD) -> DataFrame:
-    """``key, host, path, rule, verdict`` of every row, with its host's ``trust`` and ``distrust``."""
+def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", html: str = "html", rounds: int | None = ROUNDS, threshold: int = THRESHOLD) -> DataFrame:
+    """``key, host, path, rule, verdict`` of every row, with its host's ``trust`` and ``distrust``; settled if ``rounds`` is None."""
     named = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = with_rules(named, rules)
     counts = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("na"), F.count_if(F.col("ruled") == "block").alias("nb"))
