@@ -254,3 +254,14 @@ def test_acceptance_and_supersession(tables):
         rv.effective([rv.replace(accept, reason="changed")])
     with pytest.raises(ReviewDecisionError):
         book.apply(book.accept("review_1", supersedes="review_nothing"))
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.96, 0.98, 0.988])
+def test_without_strict_limits_all_mentions_are_resolved(spark, threshold):
+    """The same clusters as from all pairs: repeated names and identifiers, aliases, and two names that meet in one document only."""
+    rows = [plain("PERSON", "Robert Williams", doc=d) for d in "abc"] + [plain("PERSON", "Robbert Williams", doc=d) for d in "zyc"]
+    rows += [plain("OTHER", "x@example.com", "email:x@example.com")] * 3 + [plain("ORGANIZATION", x) for x in ("IBM", "IBM", "IBM Corporation", "IBM Corporation", "Acme Inc.", "Acme Inc.")]
+    strict, _ = resolved(spark, *rows, config=CaseConfig(auto_merge_threshold=threshold))
+    loose, keyed = resolved(spark, *rows, config=CaseConfig(auto_merge_threshold=threshold, strict_limits=False))
+    assert set(loose) == set(strict)
+    assert max(len(x) for x in loose) >= 3
