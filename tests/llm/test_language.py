@@ -88,3 +88,11 @@ def test_page_evidence(spark):
     a, b = language.page_evidence(pages).orderBy("page_id").collect()
     assert (a.host, a.suffix, a.markup) == ("www.beispiel.de", "de", "de") and "Hallo" in a.text and "var" not in a.text
     assert b.host is None and b.text is None
+
+
+def test_other_languages_and_noise_are_rejected(spark, model):
+    texts = ["Η γάτα κάθεται στο χαλί και ο σκύλος ήταν εκεί μαζί τους", "koira ja kissa istuvat yhdessä pöydän alla eivätkä lähde pois", "xqzv kjwq vvxz pqkj zzxw qjvk wxqz kvjq", "the cat and the dog sat on the mat"]
+    rows = frame(spark, [(i, t, "a", None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.language, r.rejected) for r in language.identify(rows, model).collect()}
+    assert got == {0: (None, True), 1: (None, True), 2: (None, True), 3: ("en", False)}
+    assert [r.doc_id for r in language.keep(rows, model).collect()] == [3]

@@ -10,7 +10,8 @@ Trigram models are fitted on at most ``PER_LANGUAGE`` labelled rows of each lang
 ids, outside the held-out fold; ``LANGUAGES`` is the most languages that are fitted, the commonest first.
 
 A text without letters (null, empty, marks only) has no likelihood; its language is null and it is rejected, whatever the other evidence says.
-Otherwise a document is rejected if its best language's posterior is below ``LEAST``.  Null hosts, suffixes and
+Otherwise a document is rejected if its best language's posterior is below ``LEAST``, or if no language is likelier than the background: any
+other language or noise, which has all known trigrams and one for the unknown alike and the prior ``OTHER``.  Its language is null then.  Null hosts, suffixes and
 declarations are no evidence; null hosts share one prior.  Equal posteriors go to the language that sorts first.  Without any labelled row no
 language is known, and nothing is rejected.
 """
@@ -33,6 +34,8 @@ from tracewell.llm.quality import fold
 from tracewell.llm.runtime import cut
 
 PER_LANGUAGE, LANGUAGES, LEAST, WEIGHT = 400, 64, 0.5, 40
+#: The prior of the background.
+OTHER = 0.01
 #: How sure a declaration and an address suffix are, and how many documents the level above counts for.
 DECLARED, SUFFIXED, ABOVE = 0.8, 0.6, 8.0
 #: Hosts of which priors are sent to all tasks; more are joined.
@@ -102,6 +105,11 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
 
 def likelihood(text: str | None, model: Model, chunk: int = 1 << 20) -> tuple[np.ndarray, int]:
     """Log-likelihoods of a text's languages, the best at 0, and its number of trigrams."""
+    return with_background(text, model, chunk)[:2]
+
+
+def with_background(text: str | None, model: Model, chunk: int = 1 << 20) -> tuple[np.ndarray, int, float]:
+    """The same, and the log-likelihood of the background on that scale."""
     text = text or ""
     total, size, k = np.zeros(len(model.languages)), 0, len(model.codes)
     start = 0
@@ -115,24 +123,24 @@ def likelihood(text: str | None, model: Model, chunk: int = 1 << 20) -> tuple[np
         total += np.bincount(at, minlength=k + 1) @ model.rows if len(at) > k else model.rows[at].sum(axis=0)
         start, size = end, size + len(codes)
     if not size:
-        return np.zeros(len(model.languages)), 0
+        return np.zeros(len(model.languages)), 0, 0.0
     out = total * (min(size, WEIGHT) / size)
-    return out - out.max(), size
+    return out - out.max(), size, float(-math.log(k + 1) * min(size, WEIGHT) - out.max())
 
 
-def with_likelihood(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, name: str = "_ll", size: str = "_grams") -> DataFrame:
-    """Some columns of the rows (all, if none are named) with the likelihoods and the number of trigrams."""
+def with_likelihood(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, name: str = "_ll", size: str = "_grams", other: str = "_other") -> DataFrame:
+    """Some columns of the rows (all, if none are named) with the likelihoods, the number of trigrams and the background's likelihood."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns if columns is None else columns
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField(size, T.LongType())])
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField(size, T.LongType()), T.StructField(other, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [likelihood(t.as_py(), model) for t in batch.column(len(kept))]
-            extra = [pa.array([v for v, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *extra], [*kept, name, size])
+            found = [with_background(t.as_py(), model) for t in batch.column(len(kept))]
+            extra = [pa.array([v for v, _, _ in found], pa.list_(pa.float64())), pa.array([n for _, n, _ in found], pa.int64()), pa.array([b for _, _, b in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *extra], [*kept, name, size, other])
 
     return source.mapInArrow(work, schema)
 
@@ -146,7 +154,7 @@ def _normal(weights: Column) -> Column:
 def host_priors(found: DataFrame, host: str, suffix: str, languages: list[str]) -> DataFrame:
     """``_host``, ``_suffix`` and ``_prior`` (probabilities by language).  ``found``: host, suffix, _ll and _grams of every row."""
     k = len(languages)
-    soft = found.where("_grams > 0").select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(suffix).cast("string"), F.lit("")).alias("_suffix"), _normal(F.transform("_ll", F.exp)).alias("p"))
+    soft = found.where((F.col("_grams") > 0) & (F.col("_other") <= -math.log(OTHER))).select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(suffix).cast("string"), F.lit("")).alias("_suffix"), _normal(F.transform("_ll", F.exp)).alias("p"))
     hosts = cut(soft.groupBy("_host", "_suffix").agg(*[F.sum(F.get("p", F.lit(i))).alias(f"n{i}") for i in range(k)]))
     level = hosts.groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(k)])
     top = level.agg(*[F.sum(f"s{i}").alias(f"g{i}") for i in range(k)]).first()
@@ -175,7 +183,9 @@ def fuse(found: DataFrame, priors: DataFrame, languages: list[str], host: str, s
     total = F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["d"])
     summed = joined.withColumn("_total", total).withColumn("_best", F.array_max("_total"))
     odds = F.aggregate(F.col("_total"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
-    known = F.col("_grams") > 0
+    # The background says each language as often as any other.
+    said = sum((F.when(F.array_contains(listed, x), -math.log(k)).otherwise(0.0) for x in (F.coalesce(declared, F.lit("")), F.coalesce(country, F.lit("")))), F.lit(math.log(OTHER)))
+    known = (F.col("_grams") > 0) & (F.col("_other") + said <= F.col("_best") + F.ln(odds))
     return summed.withColumn("_lang", F.when(known, F.get(listed, (F.array_position("_total", F.col("_best")) - 1).cast("int")))).withColumn("_posterior", F.when(known, F.round(1 / odds, 6)))
 
 
