@@ -1,7 +1,7 @@
 """Connected components of links in DataFrames, by alternating large and small stars.
 
 Each round replaces a node's links by links to the least node that it sees; the number of rounds grows with the logarithm of the
-longest chain.  Every round is checkpointed and nothing is collected.
+longest chain.  Every round is written and nothing is collected.  Nodes of very many links (hubs) are joined where their links are.
 """
 
 from __future__ import annotations
@@ -9,14 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.plans.lineage import cut
+from tracewell.plans.lineage import Written
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _parts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with_hot(rows: DataFrame, values: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """A left join in which the rows of ``hot`` keys stay where they are; ``hot`` has few of the rows of ``values``."""
+    columns = [c for c in values.columns if c != key]
+    near = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    dealt = near.where("_hot is null").select(*rows.columns).join(values, key, "left")
+    return near.where("_hot").select(*rows.columns, *columns).unionByName(dealt.select(*rows.columns, *columns))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``values``, which has a row for each key at most; a key of very many rows isn't dealt to one task.
+
+    Keys that have more rows than a partition's share are broadcast with their values: fewer than there are partitions, whatever the data.
+    """
+    parts = _parts(rows)
+    counted = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    many = [r[0] for r in counted.where((F.col("_n") > total / parts) & (F.col("_n") > 100)).select(key).collect()]
+    if not many:
+        return rows.join(values, key, "left")
+    kind = rows.schema[key].dataType
+    hot = rows.sparkSession.createDataFrame([(k,) for k in many], f"`{key}` {kind.simpleString()}")
+    return _with_hot(rows, values, values.join(F.broadcast(hot), key, "left_semi"), key)
+
+
+def _round(edges: DataFrame, total: int) -> DataFrame:
     """One large and one small star over links from greater to lesser nodes (``u``, ``v``)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    seen = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    least = seen.select("u", F.least("u", "m").alias("m"))
+    # Fewer hubs than partitions, since all of their links together are no more than there are.
+    hubs = seen.where(F.col("n") > max(100, total / _parts(edges))).select("u", F.least("u", "m").alias("m"))
+    large = _with_hot(both.where("v > u"), least, hubs, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -28,11 +59,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, its component's least node, of every linked node that isn't its own root."""
-    edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(edges)
+    at = Written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    mark = _mark(at.df)
     while mark[0]:
-        edges = cut(_round(edges))
-        before, mark = mark, _mark(edges)
+        last, at = at, Written(_round(at.df, mark[0]))
+        last.drop()
+        before, mark = mark, _mark(at.df)
         if mark == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return at.df.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a temporary one only where none is set (tests, local runs)."""
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary one only where none is set and the master is local."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewell-"))
     return context.getCheckpointDir()
 
@@ -26,5 +28,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """A result written as a table in the shared folder.
+
+    Unlike a checkpoint it is known by its size: plans that join what earlier rounds joined stay small, and it can be dropped.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, new_folder(df.sparkSession, "written")
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Removes the files; nothing that is still to be computed may need them."""
+        remove(self.spark, self.path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    return Written(df).df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
