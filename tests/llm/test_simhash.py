@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tracewell.llm import simhash
@@ -146,13 +146,84 @@ def test_similarity_finds_all_near_copies(spark):
     assert got[84] == got[85] == got[86] == 84
 
 
-def test_buckets_and_likeness():
-    a = np.frombuffer(simhash.signature(simhash.sketched("a b c d e f g h i j", 5)[1]), "<u2").reshape(1, -1)
-    b = np.frombuffer(simhash.signature(simhash.sketched("a b c d e f g h i k", 5)[1]), "<u2").reshape(1, -1)
-    x, y = simhash.planes(a), simhash.planes(b)
-    assert simhash.plane_likeness(x, x)[0] == 1 and simhash.plane_likeness(x, y)[0] == pytest.approx(5 / 7)
-    assert (simhash.buckets(a) == simhash.buckets(a.copy())).all() and simhash.buckets(a).shape == (1, 32)
-    assert (simhash.buckets(a) == simhash.buckets(b)).any()
+def sketch_of(text):
+    return simhash.signatures(simhash.sketched(text, 5)[1].reshape(1, -1))
+
+
+def test_sketches_compare_in_spark_as_bins_do(spark):
+    """Likeness by words of bits is that of the filled bins; a pair is taken from the first bucket that both have."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(300)]
+    rows, leasts = [], []
+    for i in range(40):
+        words = list(base[: 20 + 7 * i])
+        for at in rng.choice(len(words), int(rng.integers(0, 6)), replace=False):
+            words[at] = f"x{rng.integers(10**6)}"
+        leasts.append(simhash.sketched(" ".join(words), 5)[1])
+    words = simhash.signatures(np.stack(leasts))
+    names = simhash.buckets(words)
+    assert names.shape == (40, 40) and (names & 63 == np.arange(40)).all()
+    rows = [(i, i, words[i].view(np.int64).tolist()) for i in range(40)]
+    left = spark.createDataFrame(rows, "a long, n long, s array<long>")
+    right = left.selectExpr("a AS b", "n AS m", "s AS t")
+    pairs = left.join(right, left["a"] < right["b"])
+    one = F.lit(100).cast("long")
+    loose = {(r.a, r.b) for r in pairs.where(simhash._alike(F.col("s"), F.col("t"), one, one, 0.7)).collect()}
+    short = lambda least: (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    empty = np.uint64(2**64 - 1)
+    want = set()
+    for i in range(40):
+        for j in range(i + 1, 40):
+            either = (leasts[i] != empty) | (leasts[j] != empty)
+            same = (leasts[i] != empty) & (leasts[j] != empty) & (short(leasts[i]) == short(leasts[j]))
+            if same.sum() / either.sum() >= 0.7 - 1e-9:
+                want.add((i, j))
+    assert loose == want and 5 < len(want) < 700
+    shared = [(i, j, int(k)) for i in range(40) for j in range(i + 1, 40) for k in set(names[i].tolist()) & set(names[j].tolist())]
+    at = spark.createDataFrame(shared, "a long, b long, k long")
+    first = sorted(tuple(r) for r in at.join(left, "a").join(right, "b").where(simhash._first(F.col("s"), F.col("t"), F.col("k"))).select("a", "b", "k").collect())
+    least = {}
+    for i, j, k in shared:
+        least[i, j] = min(least.get((i, j), (99, 0)), (k & 63, k))
+    assert first == sorted((i, j, k) for (i, j), (_, k) in least.items())
+
+
+def test_a_dense_group_with_stragglers_is_whole(spark, monkeypatch):
+    """Copies of one text with ever more changes: components are those of all pairs of 0.8 or more."""
+    monkeypatch.setattr(simhash, "AGAIN", 20)
+    monkeypatch.setattr(simhash, "CELL", 2000)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(240):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    root = list(range(240))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(240):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, words=5, similarity=0.8).collect()}
+    assert got == {i: find(i) for i in range(240)}
+    assert 1 < len(set(got.values())) < 200
+
+
+def test_one_id_with_two_texts_keeps_both_components(spark):
+    texts = ["a b c d e f g h", "p q r s t u v w", "p q r s t u v w"]
+    rows = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    kept = simhash.keep_one(rows, simhash.near_duplicates(rows, words=5, similarity=0.8)).collect()
+    assert sorted(map(tuple, kept)) == [(1, texts[0]), (1, texts[1])]
 
 
 def test_links_are_exact_around_the_similarity(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,27 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tracewell.plans.lineage import Written, cut, remove, shared_dir, written
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one that is set here (tests, local runs)."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        return named
-    own = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-    context.setCheckpointDir(own)
-    return context.getCheckpointDir() or own
+__all__ = ["Memo", "Written", "cut", "map_rows", "packed", "remove", "shared_dir", "signed", "table", "utf8", "written"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, readable after any executor is lost."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8(value: str) -> bytes:

@@ -16,13 +16,17 @@ groups, so a group of thousands of near copies doesn't emit its pairs, and no li
 Where links are asked for by ``similarity`` (of the sets of word shingles) bits aren't enough: at a similarity of 0.8 two
 fingerprints differ in some ten of 64 bits, for which partitions select hardly anything.  Texts of equal sets of hashed shingles are
 then one node, and two nodes link exactly if their sets' similarity is at least that; the fingerprints' distance doesn't link.
-Candidates come from a sketch, the least hash of each of ``BINS`` bins of a set: runs of ``SHORT`` bins name buckets, and members of one bucket
-whose sketches are alike by ``LOOSE`` or more are compared by their sets.  Neighbours in large buckets are compared first and what links
-is contracted, so that a group of thousands of near copies doesn't emit its pairs; then all pairs of different groups are.  At a
-similarity of 0.8 long texts miss all 51 buckets with a probability of 2e-9 and ``LOOSE`` is six standard errors below.
+Candidates come from a sketch, the least hash of each of ``BINS`` bins of a set: runs of ``RUN`` bins name ``BINS / RUN`` buckets, which hold
+ids only.  Neighbours in some buckets are compared first, in a random order, round after round, and what links is contracted, so that a
+group of near copies doesn't emit its pairs.  What then still shares a bucket but not a group is compared by sketches where it meets, each
+pair in the first bucket that both have, and by sets if the sketches are alike by ``LOOSE`` or more.  Sets are made again from the texts of
+candidates only and meet in cells of bounded size, each set once for a cell.  At a similarity of 0.8 long texts miss all buckets with a
+probability of 5e-6, and ``LOOSE`` is four standard errors below.
 
 Null and blank texts have fingerprint zero and link like others.  A text of fewer words than a shingle has its whole
-sequence as the only shingle.  A null id never becomes a component's id unless the component has no other.  Rows may repeat.
+sequence as the only shingle.  A null id never becomes a component's id unless the component has no other.  Rows may repeat; of rows of one id
+but different texts each has its own component.  Very long texts are hashed in chunks.  An empty table gives an empty table; other columns
+are never read, and ``keep_one`` hands them on whatever their names.
 """
 
 from __future__ import annotations
@@ -37,24 +41,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.runtime import cut
-from tracewell.operators.components import components
+from tracewell.llm.runtime import written
+from tracewell.operators.components import components, spread_join
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: What a probe row and a candidate comparison cost, relative to each other, and how far sorted neighbours are compared.
 PROBE, CANDIDATE, NEAR = 1.0, 0.05, 128
-#: Bins of a similarity sketch, and how many neighbouring ones name a bucket.
-BINS, RUN = 256, 8
-#: How many bins name a bucket where candidates are verified, the likeness of sketches from which they are, and how many bits of a bin's
-#: value it is taken from (fewer bits let more candidates through, never fewer).
-SHORT, LOOSE, FEW = 5, 0.65, 3
-#: How many neighbours are compared first, in buckets of more members than DENSE, and the number of links from which they are once more.
-WINDOW, DENSE, AGAIN = 2, 8, 1000
+#: Bins of a similarity sketch (in four words of 60 bits), how many neighbouring ones name a bucket, and the likeness of sketches from which
+#: sets are compared.
+BINS, RUN, LOOSE = 240, 6, 0.7
+#: How many bits of a bin's value are kept; a sketch has four words for each of them and four that tell which bins are filled.
+BITS = 8
+#: One in so many buckets is looked at in a round of contraction, and the number of links from which there is one more.
+SAMPLE, AGAIN = 4, 1000
 #: Bits of the filter by which the rows are chosen whose sets are made (at most; a false hit costs a row, no result).
 FILTER = 1 << 27
-#: How many bits of a bin's value are compared, and the words of all those bits with the one that tells whether it is filled.
-BITS = 8
-PLANES = 4 * (BITS + 1)
+#: Shingles that a cell of sets holds, about.
+CELL = 1 << 22
 #: Rows whose signatures are worked on at once.
 SLICE = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,7 +84,7 @@ def sketched(text: str | None, words: int = WORDS, seed: int = SEED, chunk: int
         digests = b"".join(map(xxh64_digest, [joined[s:e] for s, e in zip(starts[i : i + chunk], ends[i : i + chunk], strict=True)], repeat(seed)))
         counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         hashes = np.sort(np.frombuffer(digests, ">u8").astype(np.uint64))
-        bins = (hashes >> np.uint64(56)).astype(np.int64)
+        bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         least[bins[first]] = np.minimum(least[bins[first]], hashes[first])
         if sets is not None:
@@ -98,51 +101,71 @@ def shingle_set(chunks: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
 
 
-def signature(least: np.ndarray) -> bytes:
-    """Two bytes a bin; 0 where it is empty."""
-    short = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)
-    return np.where(least == _NONE, np.uint64(0), short).astype("<u2").tobytes()
+def signatures(least: np.ndarray) -> np.ndarray:
+    """Sketches of rows of least hashes, as words: four for each of ``BITS`` bits of the bins' values, and four for which bins are filled.
+
+    An empty bin has the value of the next filled one, changed by the distance; only filled bins count for the likeness.
+    """
+    n = len(least)
+    filled = least != _NONE
+    values = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+    place = np.where(filled, np.arange(BINS), 2 * BINS)
+    twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    values = (np.take_along_axis(values, twice % BINS, axis=1) + 97 * (twice - np.arange(BINS))) & 255
+    out = np.empty((n, BITS + 1, 4), np.uint64)
+    for b in range(BITS + 1):
+        bits = np.zeros((n, 4, 64), np.uint8)
+        bits[:, :, : BINS // 4] = (filled if b == BITS else values >> b & 1).reshape(n, 4, -1)
+        out[:, b] = np.packbits(bits, axis=2, bitorder="little").view(np.uint64).reshape(n, 4)
+    return out.reshape(n, -1)
 
 
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 62, BINS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def buckets(signatures: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Bucket names of rows of signatures, one for each whole run of bins; an empty bin takes the next filled bin's value, changed by the distance."""
-    n = len(signatures)
-    place = np.where(signatures != 0, np.arange(BINS), 2 * BINS)
-    twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    filled = np.take_along_axis(signatures, twice % BINS, axis=1).astype(np.uint64) + ((twice - np.arange(BINS)).astype(np.uint64) << np.uint64(20))
-    used = BINS // run * run
-    return (filled[:, :used] * _ODD[:used]).reshape(n, -1, run).sum(axis=2, dtype=np.uint64).view(np.int64)
+def buckets(words: np.ndarray) -> np.ndarray:
+    """Bucket names of rows of sketches, one for each whole run of bins; the low six bits are the run's number."""
+    n = len(words)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").reshape(n, BITS + 1, 4, 64)[:, :BITS, :, : BINS // 4].reshape(n, BITS, BINS)
+    values = np.packbits(bits, axis=1, bitorder="little").reshape(n, BINS).astype(np.uint64) + np.uint64(1)
+    names = (values * _ODD).reshape(n, -1, RUN).sum(axis=2, dtype=np.uint64)
+    return (names << np.uint64(6) | np.arange(BINS // RUN, dtype=np.uint64)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text", sketch: bool = False) -> DataFrame:
     """``key``, ``mark`` (a hash of the text, to tell rows of equal ids apart) and ``fp`` (the bits as a signed long).
 
-    ``sketch`` adds ``rid`` (a hash of id and text), ``node`` (a hash of the set of shingles), ``n`` (its size) and ``sig``, its signature.
+    ``sketch`` adds ``rid`` (a hash of id and text), ``node`` (a hash of the set of shingles), ``n`` (its size), ``mh`` (its least hash in
+    another order) and ``sig``, its sketch.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            fps, nodes, sizes, signatures = [], [], [], []
-            for t in batch.column(3):
-                chunks = [] if sketch else None
-                fp, least = sketched(t.as_py(), words, sets=chunks)
-                fps.append(fp)
+        longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                fps, nodes, sizes, leasts = [], [], [], []
+                for t in batch.column(3):
+                    chunks = [] if sketch else None
+                    fp, least = sketched(t.as_py(), words, sets=chunks)
+                    fps.append(fp)
+                    if sketch:
+                        hashes = shingle_set(chunks)
+                        nodes.append(xxh64_intdigest(hashes.tobytes()))
+                        sizes.append(len(hashes))
+                        leasts.append(least)
+                more = []
                 if sketch:
-                    hashes = shingle_set(chunks)
-                    nodes.append(xxh64_intdigest(hashes.tobytes()))
-                    sizes.append(len(hashes))
-                    signatures.append(signature(least))
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            more = [batch.column(2), longs(nodes), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())] if sketch else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs(fps), *more], ["key", "mark", "fp", "rid", "node", "n", "sig"][: 3 + len(more)])
+                    least = np.stack(leasts)
+                    sigs = signatures(least)
+                    order = np.where(least == _NONE, _NONE, least * _ODD[0])
+                    more = [batch.column(2), longs(nodes), pa.array(sizes, pa.int64()), longs(order.min(axis=1)), pa.array([row.tobytes() for row in sigs], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), longs(fps), *more], ["key", "mark", "fp", "rid", "node", "n", "mh", "sig"][: 3 + len(more)])
 
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(work, f"key {source.schema['key'].dataType.simpleString()}, mark long, fp long" + ", rid long, node long, n long, sig binary" * sketch)
+    return source.mapInArrow(work, f"key {source.schema['key'].dataType.simpleString()}, mark long, fp long" + ", rid long, node long, n long, mh long, sig binary" * sketch)
 
 
 def moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -336,21 +359,7 @@ def probe_links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int]
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BINS)
-
-
-def planes(signatures: np.ndarray) -> np.ndarray:
-    """Rows of signatures as words: four for each of the low bits of the bins' values, and four for which bins are filled."""
-    bits = [(signatures >> b) & 1 for b in range(BITS)] + [signatures != 0]
-    return np.concatenate([np.packbits(x.astype(np.uint8), axis=1).view(np.uint64) for x in bits], axis=1)
-
-
-def plane_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of bins that agree, of those that either fills, from rows of planes."""
-    x = (a ^ b).reshape(-1, BITS + 1, 4)
-    apart = np.bitwise_count(np.bitwise_or.reduce(x, axis=1)).sum(axis=1, dtype=np.int64)
-    either = np.bitwise_count(a[:, 4 * BITS :] | b[:, 4 * BITS :]).sum(axis=1, dtype=np.int64)
-    return 1 - apart / np.maximum(either, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 4 * (BITS + 1))
 
 
 def _mixed(shared: DataFrame) -> DataFrame:
@@ -359,9 +368,8 @@ def _mixed(shared: DataFrame) -> DataFrame:
     return shared.join(met, "k")
 
 
-def _filter(rids: DataFrame) -> np.ndarray:
-    """Bits that are set for the row hashes ``rid``; of bounded size."""
-    n = rids.count()
+def _filter(rids: DataFrame, n: int) -> np.ndarray:
+    """Bits that are set for the ``n`` row hashes ``rid``; of bounded size."""
     size = min(FILTER, 1 << max(10, (16 * n).bit_length()))
     at = F.pmod("rid", F.lit(size))
     found = rids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(rid, {size}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -370,72 +378,146 @@ def _filter(rids: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def shingle_sets(docs: DataFrame, rids: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """``rid`` and ``s``, the hashes of the distinct shingles, of rows that have one of the row hashes, and maybe of a few more."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(rids))
+def shingle_sets(docs: DataFrame, rids: DataFrame, n: int, words: int, key: str, text: str) -> DataFrame:
+    """``rid`` and ``s`` of rows that have one of the ``n`` row hashes, and maybe of a few more.
+
+    ``s`` has 32 bits of the hash of each distinct shingle, sorted; among sets of a million that changes a similarity by 0.0003 at most.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(rids, n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             rid = batch.column(0).to_numpy()
             at = rid.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+            found, sets, total = [], [], 0
             for i in np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).tolist():
                 chunks: list[np.ndarray] = []
                 sketched(batch.column(1)[i].as_py(), words, sets=chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i : i + 1]), pa.array([shingle_set(chunks).view(np.int64)], pa.list_(pa.int64()))], ["rid", "s"])
+                found.append(rid[i])
+                sets.append(np.unique(shingle_set(chunks).astype(np.uint32)).tobytes())
+                total += len(sets[-1])
+                if total > CELL:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["rid", "s"])
+                    found, sets, total = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["rid", "s"])
 
     source = docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(work, "rid long, s array<long>").dropDuplicates(["rid"])
+    return source.mapInArrow(work, "rid long, s binary")
+
+
+def _any(terms: list):
+    out = terms[0]
+    for x in terms[1:]:
+        out = out.bitwiseOR(x)
+    return out
+
+
+def _apart(s, t, w: int):
+    """Which bins of a word have different values."""
+    return _any([F.get(s, F.lit(4 * b + w)).bitwiseXOR(F.get(t, F.lit(4 * b + w))) for b in range(BITS)])
 
 
 def _alike(s, t, n, m, similarity: float):
-    """A condition on the columns of two nodes that all pairs of the similarity meet but for chance: sizes, and ``LOOSE`` of the bins that either fills."""
+    """A condition on the columns of two nodes that pairs of the similarity meet: sizes, and ``LOOSE`` of the bins that either fills."""
     apart = either = F.lit(0)
     for w in range(4):
-        x = F.get(s, F.lit(w)).bitwiseXOR(F.get(t, F.lit(w)))
-        for b in range(1, FEW + 1):
-            x = x.bitwiseOR(F.get(s, F.lit(4 * b + w)).bitwiseXOR(F.get(t, F.lit(4 * b + w))))
-        apart = apart + F.bit_count(x)
-        either = either + F.bit_count(F.get(s, F.lit(4 * FEW + w)).bitwiseOR(F.get(t, F.lit(4 * FEW + w))))
+        f, g = F.get(s, F.lit(4 * BITS + w)), F.get(t, F.lit(4 * BITS + w))
+        apart = apart + F.bit_count(_apart(s, t, w).bitwiseOR(f.bitwiseXOR(g)).bitwiseAND(f.bitwiseOR(g)))
+        either = either + F.bit_count(f.bitwiseOR(g))
     return (F.least(n, m) >= (similarity - 1e-9) * F.greatest(n, m)) & (apart <= (1 - min(LOOSE, similarity) + 1e-9) * either)
 
 
+def _first(s, t, k):
+    """Whether the bucket ``k`` is the first that two nodes have in common: no run of bins before it agrees."""
+    each = BINS // RUN // 4
+    mask = F.lit(sum(1 << RUN * i for i in range(each))).cast("long")
+    run = k.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    shared = []
+    for w in range(4):
+        same = F.bitwise_not(_apart(s, t, w))
+        for step in (1, 2):
+            same = same.bitwiseAND(F.shiftrightunsigned(same, step))
+        pair = F.bitwise_not(_apart(s, t, w))
+        pair = pair.bitwiseAND(F.shiftrightunsigned(pair, 1))
+        before = F.when(run >= each * (w + 1), F.lit(-1).cast("long")).when(run > each * w, F.call_function("shiftleft", F.lit(1).cast("long"), RUN * (run - each * w)) - 1).otherwise(F.lit(0).cast("long"))
+        shared.append(same.bitwiseAND(F.shiftrightunsigned(pair, 4)).bitwiseAND(mask).bitwiseAND(before))
+    return _any(shared) == 0
+
+
 def sketches(nodes: DataFrame) -> DataFrame:
-    """``node``, ``rid``, ``n`` and ``s``, the words of ``FEW`` bits of the bins and of which are filled."""
+    """``node``, ``rid``, ``n``, ``mh`` and ``s``, the words of the sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                words = planes(_signatures(part.column(3)))
-                words = np.concatenate([words[:, : 4 * FEW], words[:, 4 * BITS :]], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), words.shape[1]).cast(pa.list_(pa.int64()))], ["node", "rid", "n", "s"])
+            words = pa.array(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.FixedSizeListArray.from_arrays(words, 4 * (BITS + 1)).cast(pa.list_(pa.int64()))], ["node", "rid", "n", "mh", "s"])
 
-    return nodes.select("node", "rid", "n", "sig").mapInArrow(work, "node long, rid long, n long, s array<long>")
+    return nodes.select("node", "rid", "n", "mh", "sig").mapInArrow(work, "node long, rid long, n long, mh long, s array<long>")
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
-    """Those pairs of nodes (``a``, ``b``) whose sets of shingles have the similarity: sizes and sketches first, then the sets themselves."""
-    side = lambda x: known.select(F.col("node").alias(x), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+def alike_pairs(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Those of distinct pairs (``a``, ``b``) whose sizes and sketches don't rule out the similarity, with what ``verified`` needs of both."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("mh").alias(f"m{x}"), F.col("s").alias(f"s{x}"))
     left, right = pairs.join(side("a"), "a"), side("b")
-    alike = _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity)
-    close = cut(left.join(right, (left["b"] == right["b"]) & alike).select("a", left["b"], "ra", "rb"))
-    rids = close.select(F.explode(F.array("ra", "rb")).alias("rid")).distinct()
-    sets = shingle_sets(docs, rids, words, key, text)
-    both = close.join(sets.select(F.col("rid").alias("ra"), F.col("s")), "ra").join(sets.select(F.col("rid").alias("rb"), F.col("s").alias("t")), "rb")
-    common = F.size(F.array_intersect("s", "t"))
-    return cut(both.where(common >= (similarity - 1e-9) * (F.size("s") + F.size("t") - common)).select("a", "b"))
+    return left.join(right, (left["b"] == right["b"]) & _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity)).select("a", left["b"], *_NEEDED)
+
+
+_NEEDED = [f"{x}{y}" for x in "rnm" for y in "ab"]
+
+
+def _similar(similarity: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """Those pairs of a cell whose sets have the similarity."""
+        held = dict(zip(sets["rid"].to_pylist(), sets["s"].to_pylist(), strict=True))
+        held = {r: np.frombuffer(s, np.uint32) for r, s in held.items()}
+        order = np.argsort(pairs["ra"].to_numpy(), kind="stable")
+        pairs = pairs.take(pa.array(order))
+        ra, rb = pairs["ra"].to_numpy(), pairs["rb"].to_pylist()
+        keep = np.zeros(len(ra), bool)
+        starts = np.flatnonzero(np.diff(ra, prepend=ra[0] - 1 if len(ra) else 0))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ra)], strict=True):
+            one = held[int(ra[start])]
+            for i in range(start, end, 256):
+                others = [held[r] for r in rb[i : min(end, i + 256)]]
+                sizes = np.array([len(x) for x in others])
+                x = np.concatenate(others)
+                at = np.minimum(np.searchsorted(one, x), len(one) - 1)
+                common = np.add.reduceat(one[at] == x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+                keep[i : i + len(sizes)] = common >= (similarity - 1e-9) * (len(one) + sizes - common)
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+    return check
+
+
+def verified(close: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
+    """Those pairs of nodes (``a``, ``b``) whose sets of shingles have the similarity.
+
+    Sets meet in cells, named by the least hashes of both, which near copies mostly share; heavy least hashes are split by row.
+    """
+    close = written(close)
+    rows = close.select(F.explode(F.array(*[F.struct(F.col(f"r{x}").alias("rid"), F.col(f"n{x}").alias("n"), F.col(f"m{x}").alias("m")) for x in "ab"])).alias("r")).select("r.*").distinct()
+    most, total, n = rows.groupBy("m").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).agg(F.max("n"), F.sum("n"), F.sum("rows")).first()
+    if not n:
+        return close.select("a", "b")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda x: F.xxhash64(F.col(f"m{x}"), F.pmod(F.xxhash64(f"r{x}"), F.lit(-(-most // CELL))))
+    cells = max(4 * parts, -(-4 * total // CELL))
+    pairs = close.select(F.pmod(F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))), F.lit(cells)).alias("cell"), "a", "b", "ra", "rb")
+    needed = pairs.select(F.col("cell").alias("at"), F.explode(F.array("ra", "rb")).alias("rid")).distinct()
+    sets = shingle_sets(docs, rows.select("rid"), n, words, key, text).join(needed, "rid").select("at", "rid", "s")
+    return written(pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(_similar(similarity), "a long, b long"))
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
-    """Links of nodes (``a``, ``b``), by which all nodes of the similarity are connected.  ``nodes``: node, rid, n, sig."""
+    """Links of nodes (``a``, ``b``), by which all nodes of the similarity are connected.  ``nodes``: node, rid, n, mh, sig."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                names = buckets(_signatures(part.column(1)), SHORT)
+                names = buckets(_signatures(part.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), names.shape[1]))], ["k", "node"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,67 +538,63 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             k, node, c = [np.concatenate([h, x.to_numpy()]) for h, x in zip(held, batch.columns, strict=True)]
-            i = np.arange(max(0, len(k) - DENSE))
-            i = i[k[i] == k[i + DENSE]]
-            for s in range(1, WINDOW + 1):
-                j = i[c[i] != c[i + s]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[j + s])), pa.array(np.maximum(node[j], node[j + s]))], ["a", "b"])
-            held = [x[-DENSE:] for x in (k, node, c)]
-
-    known = cut(sketches(nodes))
+            i = np.flatnonzero((k[:-1] == k[1:]) & (c[:-1] != c[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + 1])), pa.array(np.maximum(node[i], node[i + 1]))], ["a", "b"])
+            held = [x[-1:] for x in (k, node, c)]
+
+    known = sketches(nodes)
     rows = nodes.where("n > 0").select("node", "sig").mapInArrow(spread, "k long, node long")
     rows = rows.repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(several, "k long, node long")
-    left = cut(rows.withColumn("c", F.col("node")))
-    links = None
-
-    def contracted(found: DataFrame) -> DataFrame:
-        """What is left after the links: buckets where different groups meet."""
-        named = components(found).select("node", "root")
-        return cut(_mixed(left.select("k", "node").join(named, "node", "left").select("k", "node", F.coalesce("root", "node").alias("c"))))
-
+    shared = written(rows)
+    left, links = shared.withColumn("c", F.col("node")), None
     turn = 0
     while True:
-        dealt = left.select("k", "node", "c", F.xxhash64("node", "k", F.lit(turn)).alias("o")).repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
-        found = verified(dealt.select("k", "node", "c").mapInArrow(neighbours, "a long, b long").distinct(), known, docs, similarity, words, key, text)
+        sampled = left.where(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(SAMPLE)) == 0)
+        dealt = sampled.select("k", "node", "c", F.xxhash64("node", "k").alias("o")).repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
+        pairs = dealt.select("k", "node", "c").mapInArrow(neighbours, "a long, b long").distinct()
+        found = verified(alike_pairs(pairs, known, similarity), docs, similarity, words, key, text)
         n, turn = found.count(), turn + 1
         links = found if links is None else links.unionByName(found)
-        left = contracted(links)
+        named = components(links).select("node", "root")
+        left = written(_mixed(shared.join(named, "node", "left").select("k", "node", F.coalesce("root", "node").alias("c"))))
         if n < AGAIN:
             break
-    sketch = known.select("node", "n", "s")
-    left = left.join(sketch, "node").select("k", "node", "c", "n", "s")
-    right = left.select(F.col("k").alias("k2"), F.col("node").alias("b"), F.col("c").alias("c2"), F.col("n").alias("m"), F.col("s").alias("t"))
-    rest = left.join(right, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("c2")) & _alike(F.col("s"), F.col("t"), F.col("n"), F.col("m"), similarity))
-    return links.unionByName(verified(rest.select(F.col("node").alias("a"), "b").distinct(), known, docs, similarity, words, key, text))
+    left = left.join(known, "node").select("k", "c", F.col("node").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("mh").alias("ma"), F.col("s").alias("sa"))
+    right = left.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb"), F.col("ma").alias("mb"), F.col("sa").alias("sb"))
+    alike = _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity) & _first(F.col("sa"), F.col("sb"), F.col("k"))
+    rest = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & alike)
+    return links.unionByName(verified(rest.select("a", "b", *_NEEDED), docs, similarity, words, key, text))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, d: int = DISTANCE, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
-    """``key``, ``mark``, ``fp`` and ``component_id`` (the smallest id that links reach) of every row.
+    """``key``, ``mark``, ``fp``, ``component_id`` (the smallest id that links reach) and ``c``, the component's least node, of every row.
 
     Fingerprints link at ``d`` or fewer bits or, if it is given, texts at a similarity of their sets of word shingles instead.
     """
-    rows = cut(fingerprints(docs, words, key, text, similarity is not None))
+    rows = written(fingerprints(docs, words, key, text, similarity is not None))
     node = "fp" if similarity is None else "node"
     if similarity is not None:
-        nodes = cut(rows.groupBy("node").agg(F.min("key").alias("rep"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("sig").alias("sig")))
+        nodes = written(rows.groupBy("node").agg(F.min("key").alias("rep"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("mh").alias("mh"), F.min("sig").alias("sig")))
         named, links = nodes.select("node", "rep", F.col("node").alias("c")), similar_links(nodes, docs, similarity, words, key, text)
     else:
-        nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("rep")))
+        nodes = written(rows.groupBy("fp").agg(F.min("key").alias("rep")))
         n, both = moments(nodes)
         groups, thresholds = allocate(n, both, d)
         near = components(contract(nodes, groups, d))
-        named = cut(nodes.select("fp", "rep").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("c")))
+        named = written(nodes.select("fp", "rep").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("c")))
         links = probe_links(named.select("fp", "c"), groups, thresholds, d)
-    far = components(links)
-    whole = named.join(far.select(F.col("node").alias("c"), "root"), "c", "left").select(node, "rep", F.coalesce("root", "c").alias("c"))
+    far = components(links).select(F.col("node").alias("c"), "root")
+    whole = written(spread_join(named, far, "c").select(node, "rep", F.coalesce("root", "c").alias("c")))
     least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    ids = whole.join(least, "c").select(node, "component_id")
-    return rows.select("key", "mark", "fp", *[node] * (node != "fp")).join(ids, node).select(F.col("key").alias(key), "mark", "fp", "component_id")
+    ids = spread_join(whole.select(node, "c"), least, "c").select(node, "component_id", "c")
+    rows = rows.select("key", "mark", "fp", *[node] * (node != "fp"))
+    return spread_join(rows, ids, node).select(F.col("key").alias(key), "mark", "fp", "component_id", "c")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each component that bears its id; of equal rows, one.  A component without any id keeps a row too."""
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("fp", "mark")).alias("m")).select(F.col("component_id").alias("_id"), F.col("m.mark").alias("_mark"))
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
-    return held.join(first, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left_semi").dropDuplicates(["_key", "_hash"]).select("_row.*")
+    """One row of each component: that of the smallest id; of equal ids, one.  A component without any id keeps a row too."""
+    rid = F.xxhash64(F.col(key), F.col("mark"))
+    first = found.groupBy("c").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp", "mark", rid.alias("rid"))).alias("m")).select(F.col("m.rid").alias("_rid"), F.col("m.mark").alias("_mark"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"))
+    held = held.select("_row", F.xxhash64("_key", "_mark").alias("_rid"), "_mark")
+    return held.join(first, ["_rid", "_mark"], "left_semi").dropDuplicates(["_rid", "_mark"]).select("_row.*")
