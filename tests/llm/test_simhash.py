@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tracewell.llm import simhash
@@ -146,52 +145,43 @@ def test_similarity_finds_all_near_copies(spark):
     assert got[84] == got[85] == got[86] == 84
 
 
-def sketch_of(text):
-    return simhash.signatures(simhash.sketched(text, 5)[1].reshape(1, -1))
-
-
-def test_sketches_compare_in_spark_as_bins_do(spark):
-    """Likeness by words of bits is that of the filled bins; a pair is taken from the first bucket that both have."""
+def test_sketches_compare_as_bins_do():
+    """Likeness by words of bits is that of the filled bins; sketches that share a bucket's name share its run."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(300)]
-    rows, leasts = [], []
+    leasts, sizes = [], []
     for i in range(40):
         words = list(base[: 20 + 7 * i])
         for at in rng.choice(len(words), int(rng.integers(0, 6)), replace=False):
             words[at] = f"x{rng.integers(10**6)}"
-        leasts.append(simhash.sketched(" ".join(words), 5)[1])
-    words = simhash.signatures(np.stack(leasts))
+        chunks = []
+        leasts.append(simhash.sketched(" ".join(words), 5, sets=chunks)[1])
+        sizes.append(len(simhash.shingle_set(chunks)))
+    words, sizes = simhash.signatures(np.stack(leasts)), np.array(sizes)
     names = simhash.buckets(words)
     assert names.shape == (40, 40) and (names & 63 == np.arange(40)).all()
-    rows = [(i, i, words[i].view(np.int64).tolist()) for i in range(40)]
-    left = spark.createDataFrame(rows, "a long, n long, s array<long>")
-    right = left.selectExpr("a AS b", "n AS m", "s AS t")
-    pairs = left.join(right, left["a"] < right["b"])
-    one = F.lit(100).cast("long")
-    loose = {(r.a, r.b) for r in pairs.where(simhash._alike(F.col("s"), F.col("t"), one, one, 0.7)).collect()}
+    x, y = np.triu_indices(40, 1)
+    got = simhash.maybe_similar(words[x], words[y], sizes[x], sizes[y], 0.8)
+    first = simhash.first_shared(words[x], words[y])
     short = lambda least: (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
     empty = np.uint64(2**64 - 1)
-    want = set()
-    for i in range(40):
-        for j in range(i + 1, 40):
-            either = (leasts[i] != empty) | (leasts[j] != empty)
-            same = (leasts[i] != empty) & (leasts[j] != empty) & (short(leasts[i]) == short(leasts[j]))
-            if same.sum() / either.sum() >= 0.7 - 1e-9:
-                want.add((i, j))
-    assert loose == want and 5 < len(want) < 700
-    shared = [(i, j, int(k)) for i in range(40) for j in range(i + 1, 40) for k in set(names[i].tolist()) & set(names[j].tolist())]
-    at = spark.createDataFrame(shared, "a long, b long, k long")
-    first = sorted(tuple(r) for r in at.join(left, "a").join(right, "b").where(simhash._first(F.col("s"), F.col("t"), F.col("k"))).select("a", "b", "k").collect())
-    least = {}
-    for i, j, k in shared:
-        least[i, j] = min(least.get((i, j), (99, 0)), (k & 63, k))
-    assert first == sorted((i, j, k) for (i, j), (_, k) in least.items())
+    for at, (i, j) in enumerate(zip(x, y)):
+        one, two = leasts[i] != empty, leasts[j] != empty
+        m = (one | two).sum()
+        same = (one & two & (short(leasts[i]) == short(leasts[j]))).sum() / m
+        union = max((sizes[i] + sizes[j]) / 1.8, m)
+        error = (0.16 / m * max(0, 1 - (m - 1) / (union - 1))) ** 0.5
+        assert got[at] == (same >= 0.8 - 4 * error - 1e-6 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]))
+        shared = [int(k & 63) for k in set(names[i].tolist()) & set(names[j].tolist())]
+        assert first[at] == min(shared, default=40)
+    assert 5 < got.sum() < 700
 
 
 def test_a_dense_group_with_stragglers_is_whole(spark, monkeypatch):
     """Copies of one text with ever more changes: components are those of all pairs of 0.8 or more."""
     monkeypatch.setattr(simhash, "AGAIN", 20)
     monkeypatch.setattr(simhash, "CELL", 2000)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(150)]
     texts = []

@@ -19,9 +19,9 @@ then one node, and two nodes link exactly if their sets' similarity is at least
 Candidates come from a sketch, the least hash of each of ``BINS`` bins of a set: runs of ``RUN`` bins name ``BINS / RUN`` buckets, which hold
 ids only.  Neighbours in some buckets are compared first, in a random order, round after round, and what links is contracted, so that a
 group of near copies doesn't emit its pairs.  What then still shares a bucket but not a group is compared by sketches where it meets, each
-pair in the first bucket that both have, and by sets if the sketches are alike by ``LOOSE`` or more.  Sets are made again from the texts of
-candidates only and meet in cells of bounded size, each set once for a cell.  At a similarity of 0.8 long texts miss all buckets with a
-probability of 5e-6, and ``LOOSE`` is four standard errors below.
+pair in the first bucket that both have, and by sets unless the sketches' likeness is ``ERRORS`` standard errors below the similarity.  Sets
+are made again from the texts of candidates only and meet in cells of bounded size, each set once for a cell.  At a similarity of 0.8 long
+texts miss all buckets with a probability of 5e-6.
 
 Null and blank texts have fingerprint zero and link like others.  A text of fewer words than a shingle has its whole
 sequence as the only shingle.  A null id never becomes a component's id unless the component has no other.  Rows may repeat; of rows of one id
@@ -47,17 +47,17 @@ from tracewell.operators.components import components, spread_join
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: What a probe row and a candidate comparison cost, relative to each other, and how far sorted neighbours are compared.
 PROBE, CANDIDATE, NEAR = 1.0, 0.05, 128
-#: Bins of a similarity sketch (in four words of 60 bits), how many neighbouring ones name a bucket, and the likeness of sketches from which
-#: sets are compared.
-BINS, RUN, LOOSE = 240, 6, 0.7
+#: Bins of a similarity sketch (in four words of 60 bits), how many neighbouring ones name a bucket, and by how many standard errors the
+#: likeness of two sketches may be below a similarity for sets to be compared.
+BINS, RUN, ERRORS = 240, 6, 4
 #: How many bits of a bin's value are kept; a sketch has four words for each of them and four that tell which bins are filled.
 BITS = 8
 #: One in so many buckets is looked at in a round of contraction, and the number of links from which there is one more.
 SAMPLE, AGAIN = 4, 1000
 #: Bits of the filter by which the rows are chosen whose sets are made (at most; a false hit costs a row, no result).
 FILTER = 1 << 27
-#: Shingles that a cell of sets holds, about.
-CELL = 1 << 22
+#: Shingles that a cell of sets holds, about, and rows of a bucket that meet in one cell; larger buckets meet part by part.
+CELL, BLOCK = 1 << 22, 1024
 #: Rows whose signatures are worked on at once.
 SLICE = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -358,13 +358,13 @@ def probe_links(nodes: DataFrame, groups: list[list[int]], thresholds: list[int]
     return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 4 * (BITS + 1))
 
 
 def _mixed(shared: DataFrame) -> DataFrame:
-    """Members of those buckets (``k``) where different groups (``c``) meet."""
-    met = shared.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    """Members of those buckets (``k``) where different groups (``c``) meet, with the number of members (``g``)."""
+    met = shared.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("g")).where("low <> high").select("k", "g")
     return shared.join(met, "k")
 
 
@@ -406,64 +406,96 @@ def shingle_sets(docs: DataFrame, rids: DataFrame, n: int, words: int, key: str,
     return source.mapInArrow(work, "rid long, s binary")
 
 
-def _any(terms: list):
-    out = terms[0]
-    for x in terms[1:]:
-        out = out.bitwiseOR(x)
-    return out
+def maybe_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes and sketches (rows of words) leave the similarity possible.
 
+    The bins that either fills are a sample without replacement of the union, so the error vanishes for small sets.
+    """
+    f, g = x[:, 4 * BITS :], y[:, 4 * BITS :]
+    apart = np.bitwise_or.reduce((x ^ y).reshape(-1, BITS + 1, 4), axis=1) & (f | g)
+    apart = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+    either = np.bitwise_count(f | g).sum(axis=1, dtype=np.int64)
+    union = np.maximum((n + m) / (1 + similarity), either)
+    error = np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1) * np.maximum(1 - (either - 1) / np.maximum(union - 1, 1), 0))
+    return (np.minimum(n, m) >= (similarity - 1e-9) * np.maximum(n, m)) & (apart <= (1 - similarity + ERRORS * error) * either + 1e-6)
 
-def _apart(s, t, w: int):
-    """Which bins of a word have different values."""
-    return _any([F.get(s, F.lit(4 * b + w)).bitwiseXOR(F.get(t, F.lit(4 * b + w))) for b in range(BITS)])
 
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the first bucket that two sketches share (those that share none have the number of buckets)."""
+    same = ~np.bitwise_or.reduce((x ^ y)[:, : 4 * BITS].reshape(-1, BITS, 4), axis=1)
+    bits = np.unpackbits(np.ascontiguousarray(same).view(np.uint8), axis=1, bitorder="little").reshape(-1, 4, 64)[:, :, : BINS // 4].reshape(len(x), BINS // RUN, RUN)
+    runs = np.concatenate([bits.all(axis=2), np.ones((len(x), 1), bool)], axis=1)
+    return runs.argmax(axis=1)
 
-def _alike(s, t, n, m, similarity: float):
-    """A condition on the columns of two nodes that pairs of the similarity meet: sizes, and ``LOOSE`` of the bins that either fills."""
-    apart = either = F.lit(0)
-    for w in range(4):
-        f, g = F.get(s, F.lit(4 * BITS + w)), F.get(t, F.lit(4 * BITS + w))
-        apart = apart + F.bit_count(_apart(s, t, w).bitwiseOR(f.bitwiseXOR(g)).bitwiseAND(f.bitwiseOR(g)))
-        either = either + F.bit_count(f.bitwiseOR(g))
-    return (F.least(n, m) >= (similarity - 1e-9) * F.greatest(n, m)) & (apart <= (1 - min(LOOSE, similarity) + 1e-9) * either)
 
+def alike_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of distinct pairs (``a``, ``b``) whose sizes and sketches don't rule out the similarity, with what ``verified`` needs of both."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("mh").alias(f"m{x}"), F.col("sig").alias(f"s{x}"))
 
-def _first(s, t, k):
-    """Whether the bucket ``k`` is the first that two nodes have in common: no run of bins before it agrees."""
-    each = BINS // RUN // 4
-    mask = F.lit(sum(1 << RUN * i for i in range(each))).cast("long")
-    run = k.bitwiseAND(F.lit(63).cast("long")).cast("int")
-    shared = []
-    for w in range(4):
-        same = F.bitwise_not(_apart(s, t, w))
-        for step in (1, 2):
-            same = same.bitwiseAND(F.shiftrightunsigned(same, step))
-        pair = F.bitwise_not(_apart(s, t, w))
-        pair = pair.bitwiseAND(F.shiftrightunsigned(pair, 1))
-        before = F.when(run >= each * (w + 1), F.lit(-1).cast("long")).when(run > each * w, F.call_function("shiftleft", F.lit(1).cast("long"), RUN * (run - each * w)) - 1).otherwise(F.lit(0).cast("long"))
-        shared.append(same.bitwiseAND(F.shiftrightunsigned(pair, 4)).bitwiseAND(mask).bitwiseAND(before))
-    return _any(shared) == 0
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = maybe_similar(_signatures(batch.column("sa")), _signatures(batch.column("sb")), n, m, similarity)
+            yield batch.select(["a", "b", *_NEEDED]).filter(pa.array(keep))
 
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *_NEEDED, "sa", "sb").mapInArrow(work, _PAIR)
 
-def sketches(nodes: DataFrame) -> DataFrame:
-    """``node``, ``rid``, ``n``, ``mh`` and ``s``, the words of the sketch."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = pa.array(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.FixedSizeListArray.from_arrays(words, 4 * (BITS + 1)).cast(pa.list_(pa.int64()))], ["node", "rid", "n", "mh", "s"])
+_NEEDED = [f"{x}{y}" for x in "rnm" for y in "ab"]
+_PAIR = ", ".join(f"{x} long" for x in ["a", "b", *_NEEDED])
 
-    return nodes.select("node", "rid", "n", "mh", "sig").mapInArrow(work, "node long, rid long, n long, mh long, s array<long>")
 
+def meeting_pairs(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different groups that share a bucket and may have the similarity, each once.  ``left``: k, node, c, g (rows of the bucket).
 
-def alike_pairs(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those of distinct pairs (``a``, ``b``) whose sizes and sketches don't rule out the similarity, with what ``verified`` needs of both."""
-    side = lambda x: known.select(F.col("node").alias(x), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("mh").alias(f"m{x}"), F.col("s").alias(f"s{x}"))
-    left, right = pairs.join(side("a"), "a"), side("b")
-    return left.join(right, (left["b"] == right["b"]) & _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity)).select("a", left["b"], *_NEEDED)
+    Buckets are cut into parts of ``BLOCK`` rows, and each two parts meet in a cell, so that no task holds a bucket.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.ceil(F.col("g") / BLOCK).cast("int")
+    rows = left.withColumn("h", F.pmod(F.xxhash64("node"), cuts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    low, high = F.least("h", "j"), F.greatest("h", "j")
+    rows = rows.join(nodes.select("node", "rid", "n", "mh", "sig"), "node")
+    rows = rows.select(F.xxhash64("k", low, high).alias("cell"), "k", "c", "h", (low != high).alias("cross"), "node", "rid", "n", "mh", "sig")
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        cell, k, c, h, cross, node, rid, n, mh = [t.column(i).to_numpy() for i in range(9)]
+        words = _signatures(t.column(9))
+        left, found = np.arange(len(cell)), []
+        s = 1
+        while True:
+            left = left[left + s < len(cell)]
+            left = left[cell[left] == cell[left + s]]
+            if not len(left):
+                break
+            for i in range(0, len(left), 8192):
+                x = left[i : i + 8192]
+                y = x + s
+                ok = (k[x] == k[y]) & (c[x] != c[y]) & (node[x] != node[y]) & ~(cross[x] & (h[x] == h[y]))
+                x, y = x[ok], y[ok]
+                ok = maybe_similar(words[x], words[y], n[x], n[y], similarity)
+                x, y = x[ok], y[ok]
+                ok = first_shared(words[x], words[y]) >= (k[x] & 63)
+                found.append(np.stack([x[ok], y[ok]]))
+            s += 1
+        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        columns = [v[z] for v in (node, rid, n, mh) for z in (x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["a", "b", *_NEEDED])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*([] if held is None else held.to_batches()), batch]).combine_chunks()
+            cell = t.column(0).to_numpy()
+            end = int(np.searchsorted(cell, cell[-1]))
+            yield pairs_of(t.slice(0, end))
+            held = t.slice(end)
+        if held is not None:
+            yield pairs_of(held.combine_chunks())
 
-_NEEDED = [f"{x}{y}" for x in "rnm" for y in "ab"]
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, _PAIR)
 
 
 def _similar(similarity: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -542,7 +574,6 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + 1])), pa.array(np.maximum(node[i], node[i + 1]))], ["a", "b"])
             held = [x[-1:] for x in (k, node, c)]
 
-    known = sketches(nodes)
     rows = nodes.where("n > 0").select("node", "sig").mapInArrow(spread, "k long, node long")
     rows = rows.repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(several, "k long, node long")
     shared = written(rows)
@@ -552,18 +583,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: i
         sampled = left.where(F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(SAMPLE)) == 0)
         dealt = sampled.select("k", "node", "c", F.xxhash64("node", "k").alias("o")).repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
         pairs = dealt.select("k", "node", "c").mapInArrow(neighbours, "a long, b long").distinct()
-        found = verified(alike_pairs(pairs, known, similarity), docs, similarity, words, key, text)
+        found = verified(alike_pairs(pairs, nodes, similarity), docs, similarity, words, key, text)
         n, turn = found.count(), turn + 1
         links = found if links is None else links.unionByName(found)
         named = components(links).select("node", "root")
         left = written(_mixed(shared.join(named, "node", "left").select("k", "node", F.coalesce("root", "node").alias("c"))))
         if n < AGAIN:
             break
-    left = left.join(known, "node").select("k", "c", F.col("node").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("mh").alias("ma"), F.col("s").alias("sa"))
-    right = left.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb"), F.col("ma").alias("mb"), F.col("sa").alias("sb"))
-    alike = _alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity) & _first(F.col("sa"), F.col("sb"), F.col("k"))
-    rest = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & alike)
-    return links.unionByName(verified(rest.select("a", "b", *_NEEDED), docs, similarity, words, key, text))
+    return links.unionByName(verified(meeting_pairs(left, nodes, similarity), docs, similarity, words, key, text))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, d: int = DISTANCE, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
