@@ -40,21 +40,26 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return _with_hot(rows, values, values.join(F.broadcast(hot), key, "left_semi"), key)
 
 
-def _round(edges: DataFrame, total: int) -> DataFrame:
-    """One large and one small star over links from greater to lesser nodes (``u``, ``v``)."""
+def _round(edges: DataFrame, hub: int | None) -> DataFrame:
+    """One large and one small star over links from greater to lesser nodes (``u``, ``v``); ``hub`` is how many links make one, if there are any.
+
+    Both joins use the partitions of the groupings; without the hints each would be sent around by itself.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
     least = seen.select("u", F.least("u", "m").alias("m"))
-    # Fewer hubs than partitions, since all of their links together are no more than there are.
-    hubs = seen.where(F.col("n") > max(100, total / _parts(edges))).select("u", F.least("u", "m").alias("m"))
-    large = _with_hot(both.where("v > u"), least, hubs, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    greater = both.where("v > u")
+    met = greater.join(least.hint("merge"), "u") if hub is None else _with_hot(greater, least, seen.where(F.col("n") > hub).select("u", F.least("u", "m").alias("m")), "u")
+    large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """How many links there are, a sum that tells sets of links apart, and the most links that one lesser node has."""
+    each = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return tuple(each.agg(F.sum("n"), F.sum("h"), F.max("n")).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,7 +67,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     at = Written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = _mark(at.df)
     while mark[0]:
-        last, at = at, Written(_round(at.df, mark[0]))
+        # Fewer hubs than partitions, since all of their links together are no more than there are.
+        share = max(100, mark[0] // _parts(at.df))
+        last, at = at, Written(_round(at.df, share if mark[2] > share else None))
         last.drop()
         before, mark = mark, _mark(at.df)
         if mark == before:
