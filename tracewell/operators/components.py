@@ -56,22 +56,23 @@ def _round(edges: DataFrame, hub: int | None) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """How many links there are, a sum that tells sets of links apart, and the most links that one lesser node has."""
-    each = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    return tuple(each.agg(F.sum("n"), F.sum("h"), F.max("n")).first())
+def _state(edges: DataFrame) -> tuple[int, int, bool]:
+    """How many links there are, the most that one lesser node has, and whether they are stars: no node is below one and above another, or below two."""
+    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    each = sides.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    n, most, other = each.agg(F.sum("up"), F.max(F.col("n") - F.col("up")), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()
+    return n or 0, most or 0, not other
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, its component's least node, of every linked node that isn't its own root."""
     at = Written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(at.df)
-    while mark[0]:
+    while True:
+        total, most, stars = _state(at.df)
+        if stars:
+            break
         # Fewer hubs than partitions, since all of their links together are no more than there are.
-        share = max(100, mark[0] // _parts(at.df))
-        last, at = at, Written(_round(at.df, share if mark[2] > share else None))
+        share = max(100, total // _parts(at.df))
+        last, at = at, Written(_round(at.df, share if most > share else None))
         last.drop()
-        before, mark = mark, _mark(at.df)
-        if mark == before:
-            break
     return at.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
