@@ -36,7 +36,8 @@ class Written:
 
     def __init__(self, df: DataFrame):
         self.spark, self.path = df.sparkSession, new_folder(df.sparkSession, "written")
-        df.write.parquet(self.path)
+        # Mostly hashes, which neither compress nor repeat: codecs' buffers would be many tasks' memory for nothing.
+        df.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
