@@ -21,7 +21,7 @@ ids only.  Neighbours in some buckets are compared first, in a random order, rou
 group of near copies doesn't emit its pairs.  What then still shares a bucket but not a group is compared by sketches where it meets, each
 pair in the first bucket that both have, and by sets unless the sketches' likeness is ``ERRORS`` standard errors below the similarity.  Sets
 are made again from the texts of candidates only and meet in cells of bounded size, each set once for a cell.  At a similarity of 0.8 long
-texts miss all buckets with a probability of 5e-6.
+texts miss all buckets with a probability of 5e-6, and lie 3.5 standard errors low with one of 2e-4.
 
 Null and blank texts have fingerprint zero and link like others.  A text of fewer words than a shingle has its whole
 sequence as the only shingle.  A null id never becomes a component's id unless the component has no other.  Rows may repeat; of rows of one id
@@ -49,15 +49,17 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 PROBE, CANDIDATE, NEAR = 1.0, 0.05, 128
 #: Bins of a similarity sketch (in four words of 60 bits), how many neighbouring ones name a bucket, and by how many standard errors the
 #: likeness of two sketches may be below a similarity for sets to be compared.
-BINS, RUN, ERRORS = 240, 6, 4
+BINS, RUN, ERRORS = 240, 6, 3.5
 #: How many bits of a bin's value are kept; a sketch has four words for each of them and four that tell which bins are filled.
 BITS = 8
 #: One in so many buckets is looked at in a round of contraction, and the number of links from which there is one more.
-SAMPLE, AGAIN = 4, 1000
+SAMPLE, AGAIN = 2, 20_000
 #: Bits of the filter by which the rows are chosen whose sets are made (at most; a false hit costs a row, no result).
 FILTER = 1 << 27
 #: Shingles that a cell of sets holds, about, and rows of a bucket that meet in one cell; larger buckets meet part by part.
 CELL, BLOCK = 1 << 22, 1024
+#: Pairs that a cell of sets takes, about.
+PAIRS = 4096
 #: Rows whose signatures are worked on at once.
 SLICE = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -498,28 +500,21 @@ def meeting_pairs(left: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, _PAIR)
 
 
-def _similar(similarity: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        """Those pairs of a cell whose sets have the similarity."""
-        held = dict(zip(sets["rid"].to_pylist(), sets["s"].to_pylist(), strict=True))
-        held = {r: np.frombuffer(s, np.uint32) for r, s in held.items()}
-        order = np.argsort(pairs["ra"].to_numpy(), kind="stable")
-        pairs = pairs.take(pa.array(order))
-        ra, rb = pairs["ra"].to_numpy(), pairs["rb"].to_pylist()
-        keep = np.zeros(len(ra), bool)
-        starts = np.flatnonzero(np.diff(ra, prepend=ra[0] - 1 if len(ra) else 0))
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ra)], strict=True):
-            one = held[int(ra[start])]
-            for i in range(start, end, 256):
-                others = [held[r] for r in rb[i : min(end, i + 256)]]
-                sizes = np.array([len(x) for x in others])
-                x = np.concatenate(others)
-                at = np.minimum(np.searchsorted(one, x), len(one) - 1)
-                common = np.add.reduceat(one[at] == x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-                keep[i : i + len(sizes)] = common >= (similarity - 1e-9) * (len(one) + sizes - common)
-        return pairs.select(["a", "b"]).filter(pa.array(keep))
-
-    return check
+def _similar(held: dict[int, np.ndarray], ra: np.ndarray, rb: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of a cell, in order of ``ra``, have sets (``held`` by row hash) of the similarity."""
+    keep = np.zeros(len(ra), bool)
+    starts = np.flatnonzero(np.concatenate([[True], ra[1:] != ra[:-1]])).tolist()
+    others_of = rb.tolist()
+    for start, end in zip(starts, [*starts[1:], len(ra)], strict=True):
+        one = held[int(ra[start])]
+        for i in range(start, end, 256):
+            others = [held[r] for r in others_of[i : min(end, i + 256)]]
+            sizes = np.array([len(x) for x in others])
+            x = np.concatenate(others)
+            at = np.minimum(np.searchsorted(one, x), len(one) - 1)
+            common = np.add.reduceat(one[at] == x, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+            keep[i : i + len(sizes)] = common >= (similarity - 1e-9) * (len(one) + sizes - common)
+    return keep
 
 
 def verified(close: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
@@ -528,17 +523,50 @@ def verified(close: DataFrame, docs: DataFrame, similarity: float, words: int, k
     Sets meet in cells, named by the least hashes of both, which near copies mostly share; heavy least hashes are split by row.
     """
     close = written(close)
-    rows = close.select(F.explode(F.array(*[F.struct(F.col(f"r{x}").alias("rid"), F.col(f"n{x}").alias("n"), F.col(f"m{x}").alias("m")) for x in "ab"])).alias("r")).select("r.*").distinct()
-    most, total, n = rows.groupBy("m").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).agg(F.max("n"), F.sum("n"), F.sum("rows")).first()
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda x: close.select(F.col(f"r{x}").alias("rid"), F.col(f"n{x}").alias("n"), F.col(f"m{x}").alias("m")).distinct()
+    rows = side("a").unionByName(side("b")).distinct()
+    each = rows.groupBy("m").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).join(close.groupBy(F.col("ma").alias("m")).agg(F.count("*").alias("pairs")), "m", "left")
+    total, n, pairs = each.agg(F.sum("n"), F.sum("rows"), F.sum("pairs")).first()
     if not n:
         return close.select("a", "b")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = lambda x: F.xxhash64(F.col(f"m{x}"), F.pmod(F.xxhash64(f"r{x}"), F.lit(-(-most // CELL))))
-    cells = max(4 * parts, -(-4 * total // CELL))
-    pairs = close.select(F.pmod(F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))), F.lit(cells)).alias("cell"), "a", "b", "ra", "rb")
-    needed = pairs.select(F.col("cell").alias("at"), F.explode(F.array("ra", "rb")).alias("rid")).distinct()
-    sets = shingle_sets(docs, rows.select("rid"), n, words, key, text).join(needed, "rid").select("at", "rid", "s")
-    return written(pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(_similar(similarity), "a long, b long"))
+    # Least hashes with more than a partition's share of pairs or shingles, so at most twice as many as partitions.
+    cell, share = max(CELL, total // parts), max(PAIRS, pairs // parts)
+    heavy = [(r.m, max(-(-r.n // cell), math.isqrt((r.pairs or 0) // share) + 1)) for r in each.where((F.col("n") > cell) | (F.col("pairs") > share)).collect()]
+    heavy = spark.createDataFrame(heavy, "m long, cuts long")
+
+    def block(x: str):
+        return F.xxhash64(f"m{x}", F.pmod(F.xxhash64(f"r{x}"), F.coalesce(f"cuts{x}", F.lit(1).cast("long"))))
+
+    for x in "ab":
+        close = close.join(F.broadcast(heavy.select(F.col("m").alias(f"m{x}"), F.col("cuts").alias(f"cuts{x}"))), f"m{x}", "left")
+    pairs = close.select(F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("cell"), "a", "b", "ra", "rb")
+    needed = pairs.select("cell", F.col("ra").alias("rid")).distinct().unionByName(pairs.select("cell", F.col("rb").alias("rid")).distinct()).distinct()
+    sets = shingle_sets(docs, rows.select("rid"), n, words, key, text).join(needed, "rid").select("cell", "rid", "s")
+    # The sets of a cell come before its pairs.
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    both = sets.select("cell", F.lit(0).alias("pair"), F.col("rid").alias("ra"), zero.alias("rb"), zero.alias("a"), zero.alias("b"), "s").unionByName(pairs.select("cell", F.lit(1).alias("pair"), "ra", "rb", "a", "b", none.alias("s")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            cell, pair, ra, rb, a, b = [c.to_numpy() for c in batch.columns[:6]]
+            keep = np.zeros(len(cell), bool)
+            ends = np.flatnonzero(np.concatenate([(cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1]), [True]])).tolist() if len(cell) else []
+            start = 0
+            for end in ends:
+                if cell[start] != at:
+                    at, held = cell[start], {}
+                if pair[start]:
+                    keep[start : end + 1] = _similar(held, ra[start : end + 1], rb[start : end + 1], similarity)
+                else:
+                    for i in range(start, end + 1):
+                        held[int(ra[i])] = np.frombuffer(batch.column(6)[i].as_py(), np.uint32)
+                start = end + 1
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return written(both.repartition(parts, "cell").sortWithinPartitions("cell", "pair", "ra").mapInArrow(work, "a long, b long"))
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
