@@ -55,3 +55,23 @@ def test_documents(spark):
         want.append((i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.digest_documents(docs.limit(0), WORD).count() == 0
+
+
+def test_unsplit_runs_go_through_the_tree(monkeypatch):
+    """Runs of up to 10**5 letters, by halves, as the library encodes them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    codec, r, calls = bpe.SuffixBpe(path), random.Random(8), []
+    tree = bpe.tree
+    monkeypatch.setattr(bpe, "tree", lambda *a: calls.append(len(a[0])) or tree(*a))
+    for n in (2047, 2048, 5000, 100_000):
+        text = "".join(r.choice(["the", "ing", "a", "qx", "tion", "zz"]) for _ in range(n))[:n]
+        ids, decoded = codec.encode(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert memoryview(ids).cast("I").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+    assert calls == [2048, 5000, 100_000]

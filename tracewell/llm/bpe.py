@@ -3,8 +3,9 @@
 ``SuffixBpe`` encodes as the tokenizers library does with a vocabulary of words with ends (``</w>``), ``SpaceBpe`` with a
 byte-level vocabulary.  Both cut a text only where every rule of the tokenizer cuts it too, and remember the pieces.
 
-Long unsplit text (one pre-token of thousands of symbols) is encoded by tree concatenation: leaves are encoded apart, in
-parallel, then neighbours are joined pairwise.  At each join a window around it is encoded again and grows until its first
+Long unsplit text (one pre-token of thousands of symbols) is encoded by tree concatenation: halves are encoded apart, down to leaves
+of ``LEAF`` symbols, and joined.  Leaves may be encoded by ``threads``; workers use one, since Spark's tasks fill the cores already and
+threads of pure Python take turns.  At each join a window around it is encoded again and grows until its first
 and last token are those that the two sides have there.  That is exact: a token sequence is the BPE encoding of its text if
 and only if each pair of neighbours is the encoding of its own text, and every pair is then either inside the window,
 or known from a side.
@@ -87,15 +88,23 @@ def tree(symbols: Sequence[str], ranks: dict, leaf: int = LEAF, threads: int = 1
             at += size
         return out
 
-    cuts = [(i, min(i + leaf, len(symbols))) for i in range(0, len(symbols), leaf)]
+    def halves(start: int, end: int) -> list[tuple[int, int]]:
+        middle = (start + end) // 2
+        return [(start, end)] if end - start <= leaf else halves(start, middle) + halves(middle, end)
+
+    def joined(start: int, end: int) -> list[tuple[int, int, str]]:
+        if end - start <= leaf:
+            return leaves[start]
+        middle = (start + end) // 2
+        return join(joined(start, middle), joined(middle, end), encode)
+
+    cuts = halves(0, len(symbols))
     if threads > 1:
         with ThreadPoolExecutor(threads) as pool:
-            parts = list(pool.map(lambda c: encode(*c), cuts))
+            leaves = {c[0]: part for c, part in zip(cuts, pool.map(lambda c: encode(*c), cuts), strict=True)}
     else:
-        parts = [encode(*c) for c in cuts]
-    while len(parts) > 1:
-        parts = [join(parts[i], parts[i + 1], encode) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return [t for _, _, t in parts[0]] if parts else []
+        leaves = {c[0]: encode(*c) for c in cuts}
+    return [t for _, _, t in joined(0, len(symbols))] if symbols else []
 
 
 #: The published pre-token rule of vocabularies of words with ends; on Latin texts, the same for Python's own matcher.
@@ -155,7 +164,8 @@ class SuffixBpe:
         raw = lambda t: bytes(byte[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>")
         ranks = {bytes((b, 0)): b for b in range(1, 256)} | {bytes((b,)): 100_000 + b for b in range(256)}
         ranks |= {raw(t): 256 + i for i, t in enumerate(merged)}
-        by_raw = {raw(t): i for t, i in self.vocab.items() if t not in self.special and t != _char(0)}
+        none = _char(0)
+        by_raw = {raw(t): i for t, i in self.vocab.items() if t not in self.special and t != none}
         self.number = np.zeros(100_256, np.uint32)
         for t, r in ranks.items():
             self.number[r] = by_raw.get(t, 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.plans.lineage import Written, cut, remove, shared_dir, written
 
 
-__all__ = ["Memo", "Written", "cut", "map_rows", "packed", "remove", "shared_dir", "signed", "table", "utf8", "written"]
+__all__ = ["Memo", "Written", "cut", "map_rows", "packed", "passed", "remove", "shared_dir", "signed", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,19 @@ def packed(row: DataFrame, name: str = "doc") -> DataFrame:
     return row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias(name))
 
 
+def passed(bounds: list[int], value: Column) -> Column:
+    """How many of sorted bounds a value has reached: binary search in a constant array."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0))
+    listed = F.from_json(F.lit(str(bounds)), "array<bigint>")
+    steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, s: Column) -> Column:
+        return F.when((at + s <= len(bounds)) & (F.get(listed, at + s - 1) <= value), at + s).otherwise(at)
+
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), step))
+
+
 def signed(column: Column) -> Column:
     return column.cast("long")
 
