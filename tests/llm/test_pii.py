@@ -61,3 +61,26 @@ def test_query_columns(spark, tmp_path):
     assert got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[0].spans == want
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[1].spans == ""
     _ = F
+
+
+def test_ibans_end_where_their_country_says(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 AND go", "DE89370400440532013000 BIC", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82WEST12345698765433", "iban GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find(rows).collect()}
+    assert got == {0: [(5, 32)], 1: [(0, 22)], 2: [(0, 27)], 3: [], 4: [(5, 32), (33, 60)]}
+    masked = {r.doc_id: r.text for r in pii.mask(rows, length=None).collect()}
+    assert masked[0] == "IBAN [IBAN] AND go" and masked[2] == "[IBAN] BIC COBADEFF"
+
+
+def test_many_spans_in_one_text(spark):
+    """Several blocks of spans, some of which overlap."""
+    text = " ".join(f"u{i}@a.b 10.0.0.{i % 250}" for i in range(700)) + " a@10.2.3.4 end"
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.find(row).first().spans
+    assert len(spans) == 700 + 700 + 2
+    want, at = [], 0
+    for start, end, kind in sorted((s.start, s.end, s.kind) for s in spans):
+        if start >= at:
+            want.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, end)
+    assert pii.mask(row, length=None).first().text == "".join(want) + text[at:]
