@@ -60,3 +60,16 @@ def test_empty_and_damage(spark, tmp_path):
         except ValueError:
             pass
     assert len(list(warc.members(io.BytesIO(warc.record(1, "u", b"x" * 9999, None) * 3), 100))) == 3
+
+
+def test_one_far_id_leaves_shards_small(spark, tmp_path):
+    sizes = spark.range(20_000).selectExpr("id AS page_id", "1000L AS size")
+    far = sizes.unionByName(spark.createDataFrame([(2**62, 1000), (None, 5)], "page_id long, size long"))
+    for rows, extra in ((sizes, []), (far, [2**62])):
+        bounds = warc.shard_bounds(rows, 2_000_000)
+        assert bounds == list(range(2000, 20_000, 2000)) + extra
+    assert len(warc.shard_bounds(far, 1000, most=7)) <= 7 and warc.shard_bounds(far.limit(0), 1000) == []
+    ids = spark.createDataFrame([(0,), (1999,), (2000,), (19_999,), (2**62,), (None,)], "i long")
+    from tracewell.llm.runtime import passed
+
+    assert [r[0] for r in ids.select(passed(bounds, ids["i"])).collect()] == [0, 0, 1, 9, 10, None]

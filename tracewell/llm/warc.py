@@ -2,7 +2,7 @@
 
 The writer sorts records by id into shards and writes each shard as files of gzip members, one per record; a file is closed
 when its compressed size reaches ``roll`` bytes.  Which record lands in which file depends on the rows alone: shards are
-runs of consecutive id ranges, cut where their payload bytes, which are counted over all rows, reach ``shard`` bytes.  Headers
+runs of ids in order, cut where the running sum of all rows' payload bytes passes multiples of ``shard`` bytes.  Headers
 and digests are made anew from the payload.  Of records with equal payloads of at least ``least`` bytes the one with the
 smallest id is a response and the others revisit it.
 
@@ -27,12 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.runtime import shared_dir
+from tracewell.llm.runtime import Written, passed, shared_dir
 
-ROLL, SHARD, BUCKETS = 16 << 20, 24 << 20, 65_536
+#: Compressed bytes of a file, payload bytes of a shard, and the most shards.
+ROLL, SHARD, SHARDS = 16 << 20, 24 << 20, 65_536
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "file string, bytes long, sha256 string, records long, first_id long, last_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -129,37 +131,39 @@ class _Shard:
         return (self.name, self.size, self.sha.hexdigest(), self.count, self.first, self.last)
 
 
-def shard_of(sizes: DataFrame, shard: int, buckets: int = BUCKETS) -> tuple[Column, int]:
-    """The shard of an id as a column, and the number of shards.  ``sizes``: id and size of every record.
+def shard_bounds(sizes: DataFrame, shard: int, most: int = SHARDS) -> list[int]:
+    """The first ids of all shards but the first.  ``sizes``: id and size of every record.
 
-    Bytes are counted by ranges of ids, of which there are at most ``buckets``; that bounds what the driver gets and what
-    the column holds.
+    Shards are cut where the running sum of bytes in order of ids passes a multiple of ``shard`` (of a ``most``-th of all, if that is more, which
+    bounds what the driver gets); records of one id stay together.  Sums run within ranges and over the ranges' totals.
     """
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
-    step = (high - low) // buckets + 1
-    place = F.expr(f"(cast(page_id as decimal(20, 0)) - ({low}BD)) div {step}BD")
-    ranges = {r.k: r["size"] for r in sizes.where("page_id is not null").groupBy(place.alias("k")).agg(F.sum("size").alias("size")).collect()}
-    shards, number, held = [], 0, 0
-    for k in range((high - low) // step + 1):
-        size = ranges.get(k, 0)
-        if held and held + size > shard:
-            number, held = number + 1, 0
-        held += size
-        shards.append(str(number))
-    listed = F.split(F.lit(",".join(shards)), ",")
-    return F.coalesce(F.element_at(listed, (place + 1).cast("int")).cast("int"), F.lit(0)), number + 1
+    spark = sizes.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("size").alias("size"))
+    at = Written(ids.repartitionByRange(parts, "page_id").withColumn("part", F.spark_partition_id()))
+    totals = at.df.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()
+    if not totals:
+        return []
+    before, held = {}, 0
+    for r in totals:
+        before[r.part], held = held, held + r.size
+    shard = max(shard, -(-held // most))
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("part").cast("long"))
+    run = F.sum("size").over(W.partitionBy("part").orderBy("page_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size") + start
+    found = at.df.withColumn("shard", (run / shard).cast("long")).groupBy("shard").agg(F.min("page_id").alias("first")).collect()
+    at.drop()
+    return sorted(r["first"] for r in found)[1:]
 
 
 def write_pages(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, roll: int = ROLL, shard: int = SHARD, date: str = DATE) -> str:
     """Writes every row to archives under ``folder`` (a URI that driver and executors share); returns the manifest's path."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     # Equal payloads have equal SHA-256 and length; only ids and digests are shuffled for that.
-    marks = rows.select("page_id", F.sha2("payload", 256).alias("mark"), F.length("payload").cast("long").alias("size"))
+    marks = Written(rows.select("page_id", F.sha2("payload", 256).alias("mark"), F.length("payload").cast("long").alias("size"))).df
     groups = marks.where(F.col("size") >= least).groupBy("mark").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
     revisits = marks.where(F.col("size") >= least).join(groups, "mark").where(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))).select("page_id", "mark", "first").distinct()
-    where, shards = shard_of(marks.select("page_id", (F.col("size") + 500).alias("size")), shard)
+    bounds = shard_bounds(marks.select("page_id", (F.col("size") + 500).alias("size")), shard)
+    where, shards = F.coalesce(passed(bounds, F.col("page_id")), F.lit(0)), len(bounds) + 1
     # A page's own revisit mark sorts just before it, so one shuffle brings both together.
     both = revisits.select("page_id", F.col("mark").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("first").alias("refers"), F.lit(0).alias("kind")).unionByName(rows.select("*", F.lit(None).cast("long").alias("refers"), F.lit(1).alias("kind")))
     dealt = both.withColumn("shard", where).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "url", "payload")
@@ -188,6 +192,10 @@ def write_pages(pages: DataFrame, folder: str, key: str = "page_id", url: str =
     files.create_dir(path, recursive=True)
     manifest = f"{folder}/manifest"
     dealt.mapInArrow(work, MANIFEST).write.mode("error").parquet(manifest)
+    # What attempts that died have left.
+    for left in files.get_file_info(fs.FileSelector(path)):
+        if left.base_name.startswith(".shard-"):
+            files.delete_file(left.path)
     return manifest
 
 
