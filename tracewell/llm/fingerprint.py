@@ -1,13 +1,19 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's units are its lines, long lines cut after sentence ends; a unit's digest is XXH64 of its bytes and of how often it
-occurred before, so that repeats count.  A sketch has ``cells`` cells; each digest is put into three of them (count, XOR of the
-digests, XOR of their checks).  Two sketches of one size subtract cell by cell, what both have cancels, and peeling cells
-that hold one digest recovers the rest.  If peeling gets stuck, both texts are sketched again, larger; the size doubles until
-it succeeds.
-
-The fingerprint of a text is its sketch of the base size with its number of units.  Likeness is the shared part of both texts' units: 1 - |difference| / |units of both|;
-two texts without units have likeness 1.  A null text counts as empty.
+A text's units are its paragraphs: its lines, long ones cut after sentence ends.  A unit's digest is XXH64 of its bytes and of how often it
+occurred before, so that repeats count.  A sketch has cells in three parts; each digest is put into one of each (count, XOR of the
+digests, XOR of their checks).  Two sketches of one size subtract cell by cell, what both have cancels, and peeling cells that
+hold one digest recovers the rest.
+
+A text's fingerprint is the number of its digests, the least digests of ``BINS`` bins, and one sketch of at least twice as many cells as digests.
+Parts have 4, 8, 16, ... cells, so a sketch folds to every smaller size.  Two fingerprints are compared without their texts: the bins estimate
+their difference, both sketches are folded to a size that should hold it, and if peeling gets stuck, to twice that, up to the smaller sketch.
+Likeness is the shared part of both texts' units: 1 - |difference| / |units of both|, exact if the difference was peeled and the bins' estimate
+if no size was large enough, which takes texts that have little in common.  Where texts are at hand, ``difference`` goes on to larger sketches.
+
+Two texts without units have likeness 1.  A null text counts as empty.  Repeated rows and rows of one id (ordered by their texts) are followed
+by the next row like others.  Very long texts have sketches in proportion.  An empty table gives an empty table; other columns are never read,
+so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.runtime import passed
 
-CELLS, LONG_LINE = 12, 120
+#: The least cells of a sketch, its cells for each digest (at least), bins of least digests, and the length from which lines are cut.
+CELLS, ROOM, BINS, LONG_LINE = 12, 2, 64, 120
 _SENTENCE = re.compile(r"(?<=[.!?|])\s+")
 _MASK = (1 << 64) - 1
 
@@ -90,7 +98,7 @@ class Sketch:
         at = (mixed[:3] % np.uint64(self.third)).astype(np.int64)
         at[1] += self.third
         at[2] += 2 * self.third
-        return at.ravel(), mixed[3]
+        return at.ravel(), mixed[3] & np.uint64(0xFFFFFFFF)
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(np.zeros(0, np.uint64), 3 * self.third, self.round)
@@ -99,7 +107,7 @@ class Sketch:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """What only the first and only the second had, or None if peeling gets stuck.  Cells of one digest go together."""
-        count, keys, checks = self.count.copy(), self.keys.copy(), self.checks.copy()
+        count, keys, checks = (self.count + (1 << 15)) % (1 << 16) - (1 << 15), self.keys.copy(), self.checks.copy()
         mine: list[np.ndarray] = []
         theirs: list[np.ndarray] = []
         while True:
@@ -125,36 +133,93 @@ class Sketch:
         empty = np.zeros(0, np.uint64)
         return (np.concatenate([empty, *mine]), np.concatenate([empty, *theirs]))
 
-    def text(self, n: int) -> str:
-        """Cells as hexadecimal, after the number of digests."""
-        return f"{n:x}:" + (self.count.astype(">u2").tobytes() + self.keys.astype(">u8").tobytes() + self.checks.astype(">u4").tobytes()).hex()
+    def folded(self, third: int) -> Sketch:
+        """The same digests in parts of ``third`` cells, which divides this sketch's."""
+        if third == self.third:
+            return self
+        out = Sketch(np.zeros(0, np.uint64), 3 * third, self.round)
+        shape = (3, self.third // third, third)
+        out.count = self.count.reshape(shape).sum(axis=1).ravel()
+        out.keys, out.checks = (np.bitwise_xor.reduce(x.reshape(shape), axis=1).ravel() for x in (self.keys, self.checks))
+        return out
+
+
+class Print:
+    """A fingerprint: what its string holds, and nothing else."""
+
+    def __init__(self, n: int, least: np.ndarray, sketch: Sketch):
+        self.n, self.least, self.sketch = n, least, sketch
+
+    @classmethod
+    def of(cls, keys: np.ndarray, cells: int = CELLS) -> Print:
+        """Of sorted distinct digests."""
+        third = max(1, cells // 3)
+        while 3 * third < ROOM * len(keys):
+            third *= 2
+        least = np.zeros(BINS, np.uint8)
+        if len(keys):
+            bins = (keys >> np.uint64(58)).astype(np.int64)
+            first = np.flatnonzero(np.diff(bins, prepend=-1))
+            least[bins[first]] = keys[first] % np.uint64(255) + np.uint64(1)
+        return cls(len(keys), least, Sketch(keys, 3 * third))
+
+    def __str__(self) -> str:
+        """Numbers of digests and of a part's cells, least digests, and cells, in hexadecimal.  Counts are known modulo 2**16, checks to 32 bits."""
+        s = self.sketch
+        cells = s.count.astype(np.uint16).astype(">u2").tobytes() + s.keys.astype(">u8").tobytes() + s.checks.astype(np.uint32).astype(">u4").tobytes()
+        return f"{self.n:x}:{s.third:x}:{self.least.tobytes().hex()}:{cells.hex()}"
+
+    @classmethod
+    def read(cls, text: str) -> Print:
+        n, third, least, cells = text.split(":")
+        sketch = Sketch(np.zeros(0, np.uint64), 3 * int(third, 16))
+        raw, k = bytes.fromhex(cells), 3 * int(third, 16)
+        sketch.count = np.frombuffer(raw, ">u2", k).astype(np.int64)
+        sketch.keys = np.frombuffer(raw, ">u8", k, 2 * k).astype(np.uint64)
+        sketch.checks = np.frombuffer(raw, ">u4", k, 10 * k).astype(np.uint64)
+        return cls(int(n, 16), np.frombuffer(bytes.fromhex(least), np.uint8), sketch)
+
+    def estimate(self, other: Print) -> float:
+        """Likeness by the bins' least digests."""
+        either = np.count_nonzero(self.least | other.least)
+        same = np.count_nonzero((self.least == other.least) & (self.least > 0)) / max(1, either)
+        return 2 * same / (1 + same)
+
+    def minus(self, other: Print) -> tuple[np.ndarray, np.ndarray] | None:
+        """The digests that only this and only the other has, or None if no common size holds them."""
+        most = min(self.sketch.third, other.sketch.third)
+        expected = max(abs(self.n - other.n), 0.7 * (self.n + other.n) * (1 - self.estimate(other)))
+        third = most
+        while third % 2 == 0 and third // 2 >= CELLS // 3 and 3 * (third // 2) >= expected:
+            third //= 2
+        if 3 * third * 1.3 < abs(self.n - other.n):
+            return None
+        while True:
+            found = self.sketch.folded(third).minus(other.sketch.folded(third)).peel()
+            if found is not None or third >= most:
+                return found
+            third *= 2
+
+    def likeness(self, other: Print) -> float:
+        total = self.n + other.n
+        if not total:
+            return 1.0
+        found = self.minus(other)
+        return self.estimate(other) if found is None else 1.0 - (len(found[0]) + len(found[1])) / total
 
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, base: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only ``a`` and only ``b`` have, from sketches.
+def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Digests that only ``a`` and only ``b`` have: from their fingerprints, else from sketches of twice the size again and again.
 
-    The second try has room for all of both.  Sketches are linear, so a larger one of the difference is made in one go.  A
-    difference of over twice the cells in counts alone can't be peeled and isn't tried.
+    Sketches are linear, so a larger one of the difference is made in one go.
     """
-    if abs(len(a) - len(b)) <= 2 * cells:
-        one, two = base or (Sketch(a, cells), Sketch(b, cells))
-        found = one.minus(two).peel()
-        if found is not None:
-            return found
+    one, two = Print.of(a, cells), Print.of(b, cells)
+    found, cells, round_ = one.minus(two), 3 * min(one.sketch.third, two.sketch.third), 0
     keys, signs = np.concatenate([a, b]), np.concatenate([np.ones(len(a)), -np.ones(len(b))])
-    cells, round_ = max(2 * cells, 4 * len(keys) + 9), 1
-    while True:
-        found = Sketch(keys, cells, round_, signs).peel()
-        if found is not None:
-            return found
+    while found is None:
         cells, round_ = 2 * cells, round_ + 1
-
-
-def likeness(a: np.ndarray, b: np.ndarray, base: tuple[Sketch, Sketch] | None = None, cells: int = CELLS) -> float:
-    if not len(a) + len(b):
-        return 1.0
-    mine, theirs = difference(a, b, cells, base)
-    return 1.0 - (len(mine) + len(theirs)) / (len(a) + len(b))
+        found = Sketch(keys, cells, round_, signs).peel()
+    return found
 
 
 def edited(text: str, following: str) -> str:
@@ -173,9 +238,7 @@ def dealt_in_order(docs: DataFrame, key: str, text: str, parts: int) -> DataFram
     asked = [i / parts for i in range(1, parts)]
     found = rows.select(F.percentile_approx("key", asked, 10_000).alias("b"), F.min("key").alias("least"), F.sum(F.col("key").isNull().cast("int")).alias("nulls")).first() if asked else rows.select(F.lit(None).cast("array<long>").alias("b"), F.min("key").alias("least"), F.sum(F.col("key").isNull().cast("int")).alias("nulls")).first()
     bounds = sorted({b for b in found.b or [] if found.least is not None and b > found.least})
-    listed = ",".join(map(str, bounds))
-    # Binary search in a constant array would need a UDF; ranges are few (the shuffle's partitions), so count the bounds passed.
-    own = F.coalesce(F.size(F.filter(F.from_json(F.lit(f"[{listed}]"), "array<bigint>"), lambda b: b <= F.col("key"))), F.lit(0)) if bounds else F.lit(0)
+    own = F.coalesce(passed(bounds, F.col("key")), F.lit(0))
     first = F.col("key").isNull() if found.nulls else F.col("key") == F.lit(found.least)
     back = F.when(first, F.lit(len(bounds)))
     if bounds:
@@ -202,10 +265,6 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, cells: int = C
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        def sketched(value: str) -> tuple[np.ndarray, Sketch]:
-            found = digests(value)
-            return found, Sketch(found, cells)
-
         held = None
         done = False
         for batch in batches:
@@ -215,12 +274,12 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, cells: int = C
                 if done:
                     continue
                 k, t = k.as_py(), t.as_py()
-                own = sketched(t)
+                own = Print.of(digests(t), cells)
                 if held is not None:
-                    before, value, (keys, sketch) = held
+                    before, value, mine = held
                     changed = edited(value, t)
-                    other = sketched(changed)
-                    rows.append((before, len(value), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), sketch.text(len(keys)), other[1].text(len(other[0])), likeness(keys, other[0], (sketch, other[1]), cells), likeness(keys, own[0], (sketch, own[1]), cells)))
+                    other = Print.of(digests(changed), cells)
+                    rows.append((before, len(value), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), str(mine), str(other), mine.likeness(other), mine.likeness(own)))
                     if len(rows) == 1000:
                         yield made()
                         rows = []
@@ -238,6 +297,6 @@ def sketch_documents(docs: DataFrame, cells: int = CELLS, key: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [digests(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Sketch(k, cells).text(len(k)) for k in found], pa.string())], ["key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(Print.of(k, cells)) for k in found], pa.string())], ["key", "fingerprint"])
 
     return source.mapInArrow(work, f"key {source.schema['key'].dataType.simpleString()}, fingerprint string").withColumnRenamed("key", key)
