@@ -3,11 +3,12 @@
 Each partition turns its documents into pieces of at most ``size`` tokens and packs the pieces that don't fill a bin by best
 fit, longest first.  Bins that are full up to ``slack`` tokens are done.  The others are items of the next round, in which
 ``fanin`` neighbouring partitions meet in one task (``coalesce``, so nothing is shuffled) and are packed by best fit again,
-until one partition is left or a round hardly gains: then no merge of more partitions would gain either.  A task never holds
+until one partition is left, or there can be no fewer (a task's bins are bounded) and a round fills no bin more.  A task never holds
 more than ``block`` open bins at once, whatever the lengths are.
 
 Documents longer than ``size`` are cut so that only their first piece is shorter.  A null text counts as empty: one end
-token.  Repeated rows are documents of their own; ties are settled by id and piece.  An empty table has no rows.
+token.  Repeated rows are documents of their own; ties are settled by id and piece.  An empty table has no rows.  Other columns
+are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -152,14 +153,14 @@ def pack_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = 2, s
     parts, level, rows = bins.rdd.getNumPartitions(), 0, rest.count()
     while rows > 1 and parts > 1:
         level += 1
-        parts = max(-(-parts // fanin), -(-rows // block))
+        wide, parts = parts, max(-(-parts // fanin), -(-rows // block))
         before = rows
         bins = cut(merge_round(rest, level, parts, size, slack, block))
         done.append(bins.where("done"))
         rest = bins.where("not done")
         filled = bins.count()
         rows = rest.count()
-        if filled > 0.99 * before and before > block:
+        if filled >= before and parts >= wide:
             break
     out = rest
     for part in done:
