@@ -7,13 +7,14 @@ borrows from the level above.  The evidence of a text counts for ``WEIGHT`` trig
 independent.  Whole texts are read.
 
 Trigram models are fitted on at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hashes of their
-ids, outside the held-out fold; ``LANGUAGES`` is the most languages that are fitted, the commonest first.
+ids, outside the held-out fold; every language that has such a row is fitted.
 
 A text without letters (null, empty, marks only) has no likelihood; its language is null and it is rejected, whatever the other evidence says.
 Otherwise a document is rejected if its best language's posterior is below ``LEAST``, or if no language is likelier than the background: any
 other language or noise, which has all known trigrams and one for the unknown alike and the prior ``OTHER``.  Its language is null then.  Null hosts, suffixes and
 declarations are no evidence; null hosts share one prior.  Equal posteriors go to the language that sorts first.  Without any labelled row no
-language is known, and nothing is rejected.
+language is known, and nothing is rejected.  An empty table gives an empty table; very long texts are read in chunks; evidence has names of its own,
+so other columns' names can't clash with it, and ``keep`` hands them on.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from tracewell.llm.quality import fold
 from tracewell.llm.runtime import cut
 
-PER_LANGUAGE, LANGUAGES, LEAST, WEIGHT = 400, 64, 0.5, 40
+PER_LANGUAGE, LEAST, WEIGHT = 400, 0.5, 40
 #: The prior of the background.
 OTHER = 0.01
 #: How sure a declaration and an address suffix are, and how many documents the level above counts for.
@@ -72,7 +73,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     rows = docs.where(F.col(label).isNotNull() & F.coalesce(fold(F.col(key)) != 0, F.lit(True)))
-    languages = sorted(r.l for r in rows.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect())
+    languages = sorted(r.l for r in rows.select(F.col(label).alias("l")).distinct().collect())
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((1, 0)))
     ids = rows.select(F.col(key).alias("key"), F.col(label).alias("label"))
@@ -81,7 +82,7 @@ def train(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str =
     for language in languages:
         part = ids.where(F.col("label") == language).orderBy(*order).limit(per_language)
         sample = part if sample is None else sample.unionAll(part)
-    # At most LANGUAGES * PER_LANGUAGE ids.
+    # At most PER_LANGUAGE ids of each language.
     source = docs.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).cast("string").alias("text"))
     chosen = source.join(F.broadcast(sample.distinct()), ["key", "label"]).select("label", "text")
 
@@ -200,20 +201,38 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return out.select(F.col("_key").alias(key), F.col("_lang").alias("language"), F.col("_posterior").alias("posterior"), F.coalesce(F.col("_posterior") < LEAST, F.lit(True)).alias("rejected"))
 
 
+def _site(host: Column) -> tuple[Column, Column]:
+    """A host in lower case and its address suffix: the last label, if there are several."""
+    host = F.lower(host.cast("string"))
+    return host, F.nullif(F.regexp_extract(host, r"\.([^.]*)$", 1), F.lit(""))
+
+
+def _markup(text: Column) -> Column:
+    """The language that a text's own markup declares."""
+    return F.nullif(F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit(""))
+
+
+def document_evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """``key``, ``text``, ``host``, ``suffix`` and ``markup`` of documents, whose source may be a host and whose text may hold markup."""
+    site, suffix = _site(F.col(host))
+    return docs.select(F.col(key), F.col(text).alias("text"), site.alias("host"), suffix.alias("suffix"), _markup(F.col(text)).alias("markup"))
+
+
 def keep(docs: DataFrame, model: Model, text: str = "text", host: str = "source") -> DataFrame:
     """The rows, with all their columns, that aren't rejected.  Likelihoods are made twice, so that texts aren't shuffled."""
     if not model.languages:
         return docs
     names = docs.columns
-    brief = docs.select(F.col(host).cast("string").alias("_name"), F.lit(None).cast("string").alias("_end"), F.col(text).alias("_words"))
+    site, suffix = _site(F.col(host))
+    brief = docs.select(site.alias("_name"), suffix.alias("_end"), F.col(text).alias("_words"))
     priors = host_priors(with_likelihood(brief, model, "_words", ["_name", "_end"]), "_name", "_end", model.languages)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(host).cast("string").alias("_name"), F.lit(None).cast("string").alias("_end"), F.col(text).alias("_words"))
-    out = fuse(with_likelihood(held, model, "_words", ["_row", "_name", "_end"]), priors, model.languages, "_name", "_end", None)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), site.alias("_name"), suffix.alias("_end"), _markup(F.col(text)).alias("_said"), F.col(text).alias("_words"))
+    out = fuse(with_likelihood(held, model, "_words", ["_row", "_name", "_end", "_said"]), priors, model.languages, "_name", "_end", "_said")
     return out.where(F.col("_posterior") >= LEAST).select("_row.*")
 
 
-def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Pages with ``host``, ``suffix`` (the address's last label), ``markup`` (the declared language) and ``text`` without tags."""
-    host = F.lower(F.regexp_extract(F.col(url), "://([^/?#:]*)", 1))
+def page_evidence(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``key`` of pages with ``host``, ``suffix`` (the address's last label), ``markup`` (the declared language) and ``text`` without tags."""
+    host, suffix = _site(F.regexp_extract(F.col(url), "://([^/?#:]*)", 1))
     bare = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*>|<!--.*?-->", " "), "<[^>]*+>|&[#A-Za-z0-9]{1,9};", " ")
-    return pages.select("*", host.alias("host"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"), F.regexp_extract(F.col(html), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1).alias("markup"), bare.alias("text"))
+    return pages.select(F.col(key), bare.alias("text"), host.alias("host"), suffix.alias("suffix"), _markup(F.col(html)).alias("markup"))

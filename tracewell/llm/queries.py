@@ -20,13 +20,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, language.train(docs))
+    return language.identify(language.document_evidence(docs), language.train(docs), "doc_id", "text", "host", "suffix", "markup")
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same method where markup and addresses speak too."""
     model = language.train(table(spark, sf_dir, "documents"))
-    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    pages = language.page_evidence(table(spark, sf_dir, "pages"), "page_id")
     return language.identify(pages, model, "page_id", "text", "host", "suffix", "markup")
 
 
@@ -45,7 +45,7 @@ def _is(kind: str):
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("spans"), pii.KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("spans"), pii.KINDS).alias("spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
