@@ -169,6 +169,18 @@ def test_copies_and_budgets(spark, tmp_path):
     assert discover.read_store(spark, f"file://{folder}").count() >= 5
 
 
+def test_a_store_tells_what_it_leaves_out(spark, tmp_path):
+    folder = put(tmp_path, a_dot_txt="Alice Smith works for Acme Corp.", big_dot_txt="x" * 2000)
+    os.symlink("/nowhere", f"{folder}/gone.txt")
+    os.symlink("/etc", f"{folder}/out")
+    config = CaseConfig(max_file_bytes=1000, follow_symlinks=True)
+    case = Pipeline(spark, config).build_store(f"file://{folder}")
+    codes = sorted(r.code for r in case.failures.select("code").collect())
+    assert codes == ["LIMIT_EXCEEDED", "SOURCE_UNAVAILABLE", "SOURCE_UNAVAILABLE"]
+    assert not case.summary()["complete"] and case.summary()["documents"] == 1
+    assert [os.path.basename(p) for p, _ in discover.walk_store(spark, f"file://{folder}", CaseConfig(max_files=1)).files] == ["a.txt"]
+
+
 def test_budgets_over_a_table(spark):
     rows = [(f"p{i:03d}", 10 + i) for i in range(50)]
     df = spark.createDataFrame(rows, "path string, size long")
@@ -308,7 +320,7 @@ def test_command_line(spark, case, tmp_path, capsys):
     assert cli.main(["build", folder, "-o", f"{tmp_path}/c.json", "--json"], spark) == 0
     out = capsys.readouterr().out
     assert out.startswith("Saved:") and json.loads(out.splitlines()[1])["events"] == 1
-    assert cli.main(["inspect", f"{tmp_path}/c.json"], spark) == 0 and "Events discovered: 1" in capsys.readouterr().out
+    assert cli.main(["inspect", f"{tmp_path}/c.json"], spark) == 0 and "1 events" in capsys.readouterr().out
     assert cli.main(["timeline", f"{tmp_path}/c.json"], spark) == 0 and capsys.readouterr().out == "Undated\nMet\nSources: a.txt\n\n"
     assert cli.main(["timeline", f"{tmp_path}/c.json", "--json"], spark) == 0 and json.loads(capsys.readouterr().out)[0]["sources"] == ["a.txt"]
     assert cli.main(["inspect", f"{tmp_path}/none"], spark) == 1

@@ -243,7 +243,7 @@ def test_acceptance_and_supersession(tables):
     accept = book.accept("review_1")
     after = book.apply(accept)
     assert after.tables["events"].count() == 2 and ids(after.pending) == ["review_2"] and ids(book.pending) == ["review_1", "review_2"]
-    with pytest.raises(ReviewDecisionError, match="supersedes explicitly"):
+    with pytest.raises(ReviewDecisionError, match="say which one it replaces"):
         after.apply(after.reject("review_1"))
     back = after.apply(after.reject("review_1", supersedes=accept.id))
     assert back.tables["events"].count() == 1 and len(back.log) == 2

@@ -129,12 +129,16 @@ def parse_relative(hit: Column, reference: Column) -> Column:
     base = F.to_date(reference)
     one, two, three = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.lit(2))
     spelled = F.array_position(F.lit(list(NUMBERS)), one)
-    amount = F.when(spelled > 0, spelled).otherwise(F.when(one.rlike(r"^\d{1,5}$"), one.cast("int"))).cast("int")
+    amount = F.when(spelled > 0, spelled).otherwise(F.when(one.rlike(r"^0*\d{1,7}$"), one.cast("int"))).cast("int")
     signed = F.when(three.isin("ago", "before"), -amount).otherwise(amount)
     unit = F.regexp_replace(two, "s$", "")
 
     def moved(u: Column, n: Column) -> Column:
-        return F.when(u == "day", F.date_add(base, n)).when(u == "week", F.date_add(base, 7 * n)).when(u == "month", F.add_months(base, n)).when(u == "year", F.add_months(base, 12 * n))
+        # More than that many units lead out of the years 1 to 9999 from anywhere.
+        reach = F.when(u == "day", 3_660_000).when(u == "week", 530_000).when(u == "month", 120_000).otherwise(10_000)
+        at = F.when(u == "day", F.date_add(base, n)).when(u == "week", F.date_add(base, 7 * n)).when(u == "month", F.add_months(base, n)).when(u == "year", F.add_months(base, 12 * n))
+        at = F.when(F.abs(n) <= reach, at)
+        return F.when(F.year(at).between(1, 9999), at)
 
     step = F.when(one == "last", F.lit(-1)).when(one == "next", F.lit(1)).when(one == "this", F.lit(0))
     weekday = F.array_position(F.lit(["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]), two)

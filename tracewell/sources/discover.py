@@ -1,12 +1,13 @@
 """Discovery of files: walks with budgets, reading by Spark, deduplication by bytes, loading on the executors.
 
-Paths on the driver's disk are walked there, since links, cycles and failures are only seen there; stores that only Spark reads are listed
-by its own file source.  Contents are never read on the driver.
+Paths on the driver's disk are walked there, since links, cycles and failures are only seen there; stores that only Spark reads are walked
+through its file systems, under the same budgets.  Contents are never read on the driver.
 """
 
 from __future__ import annotations
 
 import os
+import urllib.parse
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -131,14 +132,54 @@ def within_budget(files: DataFrame, config: CaseConfig = CaseConfig(), path: str
 def read_files(spark: SparkSession, paths: list[str], config: CaseConfig = CaseConfig()) -> DataFrame:
     """``path``, ``size_bytes``, ``content`` of listed files (at most the budget's number), read by Spark."""
     at = [p if "://" in p else "file://" + p for p in paths]
+    if not at:
+        return spark.createDataFrame([], "path string, size_bytes long, content binary")
     rows = spark.read.format("binaryFile").load(at).where(F.col("length") <= config.max_file_bytes)
     return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size_bytes"), "content")
 
 
+def walk_store(spark: SparkSession, uri: str, config: CaseConfig = CaseConfig()) -> Found:
+    """What ``walk`` finds, below a folder of any store that Spark reads; local folders are walked as such.
+
+    A folder that can't be listed is a failure of its own; the budgets end the walk, so the driver holds that many names at most.
+    """
+    if "://" not in uri or uri.startswith("file:"):
+        return walk(urllib.parse.unquote(urllib.parse.urlsplit(uri).path) if uri.startswith("file:") else uri, config)
+    out, total = Found(), 0
+    store = spark._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [(uri, 0)]
+    while folders:
+        at, depth = folders.pop(0)
+        if depth > config.max_depth:
+            out.failures.append(("LIMIT_EXCEEDED", f"directory depth exceeds limit {config.max_depth}", at))
+            continue
+        try:
+            entries = sorted(((e.getPath().toString(), e) for e in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(at))), key=lambda e: (e[0].casefold(), e[0]))
+        except Exception as e:  # noqa: BLE001  whatever the store says
+            out.failures.append(("SOURCE_UNAVAILABLE", f"folder cannot be listed: {type(e).__name__}", at))
+            continue
+        for path, entry in entries:
+            size = entry.getLen()
+            if entry.isDirectory():
+                folders.append((path, depth + 1))
+            elif len(out.files) >= config.max_files:
+                out.failures.append(("LIMIT_EXCEEDED", f"file count exceeds limit {config.max_files}", path))
+                return out
+            elif total + size > config.max_total_bytes:
+                out.failures.append(("LIMIT_EXCEEDED", f"total input exceeds limit {config.max_total_bytes}", path))
+                return out
+            else:
+                total += size
+                if size > config.max_file_bytes:
+                    out.failures.append(("LIMIT_EXCEEDED", f"file has {size} bytes; limit is {config.max_file_bytes}", path))
+                else:
+                    out.files.append((path, size))
+    return out
+
+
 def read_store(spark: SparkSession, uri: str, config: CaseConfig = CaseConfig()) -> DataFrame:
-    """All files below a folder of any store that Spark reads; sizes are filtered before contents are read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri).where(F.col("length") <= config.max_file_bytes)
-    return rows.select("path", F.col("length").alias("size_bytes"), "content")
+    """The files that ``walk_store`` finds; what it doesn't is told by its failures."""
+    return read_files(spark, [p for p, _ in walk_store(spark, uri, config).files], config)
 
 
 def source_references(files: DataFrame, registry: LoaderRegistry | None = None) -> DataFrame:
