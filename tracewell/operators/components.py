@@ -36,7 +36,7 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     if not many:
         return rows.join(values, key, "left")
     kind = rows.schema[key].dataType
-    hot = rows.sparkSession.createDataFrame([(k,) for k in many], f"`{key}` {kind.simpleString()}")
+    hot = rows.sparkSession.range(1).select(F.explode(F.lit(many).cast(f"array<{kind.simpleString()}>")).alias(key))
     return _with_hot(rows, values, values.join(F.broadcast(hot), key, "left_semi"), key)
 
 
