@@ -31,6 +31,7 @@ are never read, and ``keep_one`` hands them on whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -534,7 +535,8 @@ def verified(close: DataFrame, docs: DataFrame, similarity: float, words: int, k
     # Least hashes with more than a partition's share of pairs or shingles, so at most twice as many as partitions.
     cell, share = max(CELL, total // parts), max(PAIRS, pairs // parts)
     heavy = [(r.m, max(-(-r.n // cell), math.isqrt((r.pairs or 0) // share) + 1)) for r in each.where((F.col("n") > cell) | (F.col("pairs") > share)).collect()]
-    heavy = spark.createDataFrame(heavy, "m long, cuts long")
+    # A constant: createDataFrame would start Python workers of its own for it.
+    heavy = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"m": m, "cuts": c} for m, c in heavy])), "array<struct<m:bigint,cuts:bigint>>")))
 
     def block(x: str):
         return F.xxhash64(f"m{x}", F.pmod(F.xxhash64(f"r{x}"), F.coalesce(f"cuts{x}", F.lit(1).cast("long"))))
