@@ -96,3 +96,19 @@ def test_other_languages_and_noise_are_rejected(spark, model):
     got = {r.doc_id: (r.language, r.rejected) for r in language.identify(rows, model).collect()}
     assert got == {0: (None, True), 1: (None, True), 2: (None, True), 3: ("en", False)}
     assert [r.doc_id for r in language.keep(rows, model).collect()] == [3]
+
+
+def test_pages_with_clashing_columns_like_brute_force(spark, model):
+    """All four evidences on pages whose own columns bear the evidence's names; the text's likelihood decides clear pages."""
+    html = {"en": "the cat sat on the mat and the dog was there with them", "de": "der hund und die katze sind nicht auf dem dach gewesen", "fr": "le chat est dans la maison avec les autres animaux"}
+    rows = [(i, f"https://site{i % 2}.example.{x}/p", f"<html lang={x}><p>{html[x]}</p></html>", "h", "s", "m", "t") for i, x in enumerate(["en", "de", "fr"] * 4)]
+    rows += [(100, None, None, "h", "s", "m", "t"), (101, "https://a.de/", "<html lang=de><p>1 2 3</p>", "h", "s", "m", "t"), (0, rows[0][1], rows[0][2], "h", "s", "m", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, suffix string, markup string, text string")
+    got = sorted((r.page_id, r.language, r.rejected) for r in language.identify(language.page_evidence(pages), model, "page_id", "text", "host", "suffix", "markup").collect() if r.language)
+    assert got == sorted([(i, x, False) for i, x in enumerate(["en", "de", "fr"] * 4)] + [(0, "en", False)])
+    assert language.identify(language.page_evidence(pages.limit(0)), model, "page_id", "text", "host", "suffix", "markup").count() == 0
+
+
+def test_every_language_is_fitted(spark):
+    rows = [(i, f"ab{chr(0x4E00 + i)}c{chr(0x4E00 + i)}d", f"l{i:03d}") for i in range(70)]
+    assert len(language.train(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")).languages) > 50
