@@ -181,3 +181,13 @@ def test_selection_across_extractors(spark):
     rows = [("d", 0, 5, "PERSON", "x", 0.9, 2, "b", "1", "k1"), ("d", 0, 5, "PERSON", "x", 0.9, 1, "a", "1", "k2"), ("d", 0, 5, "PERSON", "x", 0.8, 0, "c", "1", "k3"), ("d", 0, 5, "OTHER", "x", 0.1, 0, "c", "1", "k4")]
     df = spark.createDataFrame(rows, "document_id string, start int, `end` int, entity_type string, normalized string, score double, extractor_order int, extractor_name string, extractor_version string, key string")
     assert {r.key: r.winner_key for r in m.select_across(df).collect()} == {"k1": "k2", "k2": "k2", "k3": "k2", "k4": "k4"}
+
+
+def test_long_amounts_of_relative_dates(spark):
+    from datetime import date, timedelta
+
+    from tracewell.functions.dates import parse_relative
+
+    rows = [("100000 days ago", "2024-05-06"), ("0000000003 days ago", "2024-05-06"), ("9999999 weeks ago", "2024-05-06"), ("99999999999 years ago", "2024-05-06"), ("2024 years ago", "2024-05-06")]
+    got = spark.createDataFrame(rows, "hit string, day string").select(parse_relative(F.col("hit"), F.col("day"))).collect()
+    assert [str(r[0]) for r in got] == [str(date(2024, 5, 6) - timedelta(100_000)), "2024-05-03", "None", "None", "None"]
