@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from tracewell import oracles
+from tracewell import oracles, record_queries
 from tracewell import queries as own
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = own.QUERIES | record_queries.QUERIES, oracles.ORACLES | record_queries.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
@@ -22,16 +24,16 @@ def con():
 
 def plain(frame):
     def one(v):
-        return None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+        return None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
 
     return sorted((tuple(one(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False, name=None)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(own.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = own.QUERIES[name](spark, SF).toPandas()
-    if name in oracles.ORACLES:
-        want = con.sql(oracles.ORACLES[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    if name in ORACLES:
+        want = con.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
 
