@@ -54,3 +54,26 @@ def test_one_class_and_empty(spark):
     assert all(r.score > 0.99 for r in quality.score(docs, only).collect())
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.keep(docs, none).count() == 2 and quality.score(docs.limit(0), none).count() == 0
+
+
+def test_conflicting_labels_are_examples_of_both(spark):
+    """Whatever the order of rows, and however often a label is there."""
+    rows = list(rows_of(200))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t, _ in rows], "doc_id long, text string, n_chars long")
+    labels = [(i, y) for i, _, y in rows] + [(i, 1 - y) for i, _, y in rows[:40]]
+    a = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    b = quality.train(docs.repartition(5), spark.createDataFrame(labels[::-1], "doc_id long, quality int").repartition(3))
+    assert np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v) and a.bias == b.bias
+
+
+def test_keep_and_query_columns_against_brute_force(spark):
+    """``keep`` keeps what the machine itself scores at the cut or above; folds are those of Python's CRC."""
+    import zlib
+
+    rows = list(rows_of(300, seed=5)) + [(900, "", 0), (901, None, 0)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t, _ in rows], "doc_id long, text string, n_chars long")
+    machine = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    want = {i: machine.score(*quality.features(t, float(len(t or "")))) for i, t, _ in rows}
+    assert {r.doc_id for r in quality.keep(docs, machine).collect()} == {i for i, s in want.items() if s >= quality.CUT}
+    got = docs.select("doc_id", (quality.fold(docs.doc_id) == 0).alias("held")).collect()
+    assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)

@@ -8,6 +8,10 @@ into steps, of which every step is a feature.  With latent vectors v, all pairs'
 The model is fitted on the driver on at most ``PER_CLASS`` labelled rows of each class, those with the least hashes of their
 ids; of the held-out fold none.  Whole texts are read, for the fit and for scores.  Empty and null texts have structure features only, and a score.
 Rows of the labels table without a label are ignored; if no label of one class is there, every score is the other class.
+Labels that repeat count once, and an id that has both labels is an example of both classes.  Documents that repeat are scored
+each for itself, so ties and repeated rows need no rule; rows that share a labelled id are examples each.  Very long texts are
+scored whole, in memory of their distinct words.  An empty table gives an empty table; other columns are never read, so their
+names can't clash, and ``keep`` hands them on.
 """
 
 from __future__ import annotations
@@ -146,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # At most two bounded classes, so it is small enough to send to all tasks.
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (F.col(metadata).cast("double") if metadata else F.lit(None).cast("double")).alias("metadata"))
-    chosen = source.join(F.broadcast(sample.dropDuplicates(["key"])), "key").select("label", "text", "metadata")
+    chosen = source.join(F.broadcast(sample.dropDuplicates(["key", "label"])), "key").select("label", "text", "metadata")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
