@@ -45,7 +45,7 @@ def _is(kind: str):
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("spans"), pii.KINDS).alias("spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.listed(F.col("spans"), pii.KINDS).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
