@@ -7,7 +7,8 @@ its samples in little-endian, row by row, samples of a pixel together.  ``write`
 A null file gives no row.  A file or page that can't be decoded (truncated, a loop of directories, an unknown compression,
 samples that aren't 1, 2, 4, 8, 16, 32 or 64 bits) gives one row whose ``error`` says why and whose samples are null;
 pages before it stay.  A strip never yields more bytes than its rows have, whatever its data claim.  Ids may repeat; other columns
-of the input are never read, so their names can't clash.  An empty table has no pages.
+of the input are never read, so their names can't clash.  An empty table has no pages.  Rows that repeat give their pages again, and ties need no rule.
+Very large files are decoded strip by strip or tile by tile into one array of samples for a page.
 """
 
 from __future__ import annotations

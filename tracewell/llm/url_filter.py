@@ -12,7 +12,7 @@ bounded, so they settle; that they haven't after ``LIMIT`` rounds is an error.
 ``ROUNDS`` is what the SQL unrolls, which is the whole result on graphs that settle by then.
 
 A null URL, or one without ``://``, has an empty host and path; no rule with a host fits it and it is allowed.  Null html has no links.
-Rows may repeat, other columns are never read, and an empty table gives no rows.
+Rows may repeat, other columns are never read (so their names can't clash), pages are read whole however long, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ range) is written last, and by Spark's own commit; readers read what it lists an
 
 A null payload counts as empty, a null URL too.  Rows with null ids sort first and, among equal payloads, are the response only if no row
 with an id has that payload.  Rows that repeat the smallest id of their payload are responses as well.  An empty table gives
-an empty manifest.  Other columns of the input are never read.
+an empty manifest.  Other columns of the input are never read, so their names can't clash; payloads are written whole, however long.
 """
 
 from __future__ import annotations
