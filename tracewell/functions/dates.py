@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.functions.spans import bind, find_spans
+from tracewell.functions.spans import bind, find_spans, folded, holds
 from tracewell.functions.text import SPACE
 from tracewell.model import TEMPORAL
 
@@ -34,15 +34,8 @@ PATTERNS = (
     ("year", r"(?<![\w-])(?:19|20)\d{2}(?![\w-])", False),
 )
 ZONES = {"Z": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00", "BST": "+01:00", "CET": "+01:00", "CEST": "+02:00"}
-_DIGITS, _MONTHS = r"\d{4}", "(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-_GATES = {
-    "range": rf"{_DIGITS}",
-    "instant": r"\d:\d",
-    "day": _DIGITS,
-    "month": _MONTHS,
-    "relative": "(?i)today|yesterday|tomorrow|last|next|this|ago|later|before|after",
-    "year": r"(?:19|20)\d{2}",
-}
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_UNITS = ("day", "week", "month", "year")
 CANDIDATE = "array<struct<start:int,end:int,kind:string,hit:string>>"
 
 
@@ -55,13 +48,26 @@ def _named(kind: str, rank: int):
     return lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("less"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["hit"].alias("hit"))
 
 
+def _gates(text: Column, low: Column) -> tuple[Column, ...]:
+    """What a text must hold to match each of the patterns, beside digits."""
+    joined = text.rlike(rf"(?iuU)\d{SPACE}+(?:to|through|until|\u2013|\u2014){SPACE}")
+    clock = holds(text, ":")
+    month = holds(low, *_MONTHS)
+    unit = holds(low, *_UNITS)
+    return joined, clock & holds(text, "-"), clock & month, holds(text, "-"), month, month, holds(low, "today", "yesterday", "tomorrow"), unit & holds(low, "last", "next", "this"), unit & holds(low, "ago", "later", "before", "after"), holds(text, "19", "20")
+
+
 def candidates(text: Column) -> Column:
     """Non-overlapping expressions: at each place the longest, of equal ones the pattern that comes first."""
-    parts = []
-    for i, (kind, pattern, ignore) in enumerate(PATTERNS):
-        gate = text.rlike(_GATES[kind]) & (text.rlike(_MONTHS) if i in (2, 4) else F.lit(True))
-        found = find_spans(text, _java(pattern, ignore), gate)
-        parts.append(F.transform(found, _named(kind, i)))
+
+    def all_of(known: Column) -> Column:
+        parts = []
+        for i, ((kind, pattern, ignore), gate) in enumerate(zip(PATTERNS, _gates(text, known["low"]), strict=True)):
+            found = find_spans(text, _java(pattern, ignore), gate if kind in ("relative", "year") else known["digits"] & gate)
+            parts.append(F.transform(found, _named(kind, i)))
+        return F.concat(*parts)
+
+    found = bind(F.struct(folded(text).alias("low"), text.rlike(r"(?U)\d{4}").alias("digits")), all_of)
     first = F.struct(F.lit(0).alias("at"), F.array().cast(CANDIDATE).alias("all"))
 
     def keep(state: Column, s: Column) -> Column:
@@ -69,7 +75,7 @@ def candidates(text: Column) -> Column:
         taken = F.struct((s["start"] - s["less"]).alias("at"), F.array_append(state["all"], row).alias("all"))
         return F.when(s["start"] >= state["at"], taken).otherwise(state)
 
-    return F.aggregate(F.array_sort(F.concat(*parts)), first, keep, lambda state: state["all"])
+    return F.aggregate(F.array_sort(found), first, keep, lambda state: state["all"])
 
 
 def _month_number(name: Column) -> Column:
@@ -80,18 +86,22 @@ def _month_number(name: Column) -> Column:
 def _iso_day(year: Column, month: Column, day: Column) -> Column:
     """``yyyy-MM-dd``, or null where there is no such day."""
     value = F.concat_ws("-", year, F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), value)
+    return bind(value, lambda v: F.when(F.try_to_date(v, "yyyy-MM-dd").isNotNull(), v))
 
 
 def parse_day(hit: Column) -> Column:
     """ISO form of a day in one of the written forms, or null."""
     iso, named, turned = r"^(\d{4})-(\d{2})-(\d{2})$", rf"(?i)^({MONTH}){SPACE}+(\d{{1,2}})(?:st|nd|rd|th)?,?{SPACE}+(\d{{4}})$", rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?{SPACE}+({MONTH}),?{SPACE}+(\d{{4}})$"
-    x = lambda p, i: F.regexp_extract(hit, p, i)
-    return (
-        F.when(hit.rlike(iso), F.when(F.try_to_date(hit, "yyyy-MM-dd").isNotNull(), hit))
-        .when(hit.rlike(named), _iso_day(x(named, 3), _month_number(x(named, 1)), x(named, 2)))
-        .when(hit.rlike(turned), _iso_day(x(turned, 3), _month_number(x(turned, 2)), x(turned, 1)))
-    )
+
+    def read(h: Column) -> Column:
+        x = lambda p, i: F.regexp_extract(h, p, i)
+        return (
+            F.when(h.rlike(iso), F.when(F.try_to_date(h, "yyyy-MM-dd").isNotNull(), h))
+            .when(h.rlike(named), _iso_day(x(named, 3), _month_number(x(named, 1)), x(named, 2)))
+            .when(h.rlike(turned), _iso_day(x(turned, 3), _month_number(x(turned, 2)), x(turned, 1)))
+        )
+
+    return bind(hit, read)
 
 
 def parse_instant(hit: Column) -> Column:
@@ -100,14 +110,17 @@ def parse_instant(hit: Column) -> Column:
     mail = rf"(?i)^(?:[a-z]{{3,9}},?{SPACE}+)?(\d{{1,2}}{SPACE}+{MONTH}{SPACE}+\d{{4}}){SPACE}+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?{SPACE}*(Z|[+-]\d{{2}}:?\d{{2}}|[A-Z]{{2,5}})?$"
 
     def read(pattern: str) -> Column:
-        x = lambda i: F.regexp_extract(hit, pattern, i)
+        found = F.struct(*[F.regexp_extract(hit, pattern, i).alias(f"x{i}") for i in range(1, 6)])
+        return bind(found, lambda f: checked(f, parse_day(f["x1"])))
+
+    def checked(f: Column, day: Column) -> Column:
+        x = lambda i: f[f"x{i}"]
         said = F.upper(x(5))
         known = F.element_at(F.create_map(*[F.lit(v) for kv in ZONES.items() for v in kv]), said)
         offset = F.when(said == "", F.lit("")).when(said.rlike("^[+-]"), F.concat(F.substring(said, 1, 3), F.lit(":"), F.substring(said, -2, 2))).otherwise(known)
         clock = F.concat_ws(":", F.lpad(x(2), 2, "0"), x(3), F.when(x(4) == "", F.lit("00")).otherwise(x(4)))
         good = (x(2).cast("int") < 24) & (x(3).cast("int") < 60) & (F.coalesce(F.nullif(x(4), F.lit("")), F.lit("0")).cast("int") < 60)
-        day = parse_day(x(1))
-        return F.when(good & day.isNotNull() & offset.isNotNull(), F.struct(F.concat(day, F.lit("T"), clock, offset).alias("iso"), F.nullif(offset, F.lit("")).alias("zone")))
+        return bind(F.struct(day.alias("day"), offset.alias("offset")), lambda d: F.when(good & d["day"].isNotNull() & d["offset"].isNotNull(), F.struct(F.concat(d["day"], F.lit("T"), clock, d["offset"]).alias("iso"), F.nullif(d["offset"], F.lit("")).alias("zone"))))
 
     return F.when(hit.rlike(iso), read(iso)).when(hit.rlike(mail), read(mail))
 
@@ -126,7 +139,10 @@ def reference_day(said: Column) -> Column:
 def parse_relative(hit: Column, reference: Column) -> Column:
     """The day that a relative expression means, seen from a reference day (``yyyy-MM-dd``), or null."""
     words = F.split(F.lower(F.trim(hit)), rf"{SPACE}+")
-    base = F.to_date(reference)
+    return bind(F.struct(words.alias("words"), F.to_date(reference).alias("base")), lambda k: _moved(k["words"], k["base"]))
+
+
+def _moved(words: Column, base: Column) -> Column:
     one, two, three = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.get(words, F.lit(2))
     spelled = F.array_position(F.lit(list(NUMBERS)), one)
     amount = F.when(spelled > 0, spelled).otherwise(F.when(one.rlike(r"^0*\d{1,7}$"), one.cast("int"))).cast("int")
@@ -158,7 +174,6 @@ def parse_relative(hit: Column, reference: Column) -> Column:
 def resolve(hit: Column, kind: Column, reference: Column, default_zone: str | None = None) -> Column:
     """A temporal expression from its text and kind; ``reference`` is a day or null."""
     sides = F.split(hit, rf"(?iuU){JOINT.replace(chr(92) + 's', SPACE)}", 2)
-    left, right = parse_day(F.get(sides, F.lit(0))), parse_day(F.get(sides, F.lit(1)))
     month = bind(parse_day(F.concat(F.regexp_extract(hit, rf"(?i)^({MONTH})", 1), F.lit(" 1 "), F.substring(hit, -4, 4))), lambda d: F.struct(d.alias("start"), F.last_day(F.to_date(d)).cast("string").alias("end")))
     instant = parse_instant(hit)
 
@@ -166,7 +181,7 @@ def resolve(hit: Column, kind: Column, reference: Column, default_zone: str | No
         return F.struct(start.alias("start"), end.alias("end"), F.lit(precision).alias("precision"), (F.lit(default_zone).cast("string") if zone is None else zone).alias("zone"))
 
     value = (
-        F.when(kind == "range", made(left, right, "RANGE"))
+        F.when(kind == "range", bind(sides, lambda x: made(parse_day(F.get(x, F.lit(0))), parse_day(F.get(x, F.lit(1))), "RANGE")))
         .when(kind == "instant", bind(instant, lambda i: made(i["iso"], i["iso"], "INSTANT", zone_name(i["zone"], default_zone))))
         .when(kind == "day", bind(parse_day(hit), lambda d: made(d, d, "DAY")))
         .when(kind == "month", bind(month, lambda m: made(m["start"], m["end"], "MONTH")))

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.functions.spans import bind, find_spans
+from tracewell.functions.spans import bind, find_spans, holds
 from tracewell.model import TRANSITIONS
 
 #: White space as in Python's ``str.isspace``: Unicode's, and four separators that Java doesn't count.
 SPACE = r"[\s\x1c-\x1f]"
-_LEFT, _RIGHT = rf"(?U)^{SPACE}+", rf"(?U){SPACE}+\z"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _LEFT, ""), _RIGHT, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def leading(text: Column) -> Column:
     """How many white-space characters a text begins with."""
-    return F.length(text) - F.length(F.regexp_replace(text, _LEFT, ""))
+    return F.length(text) - F.length(F.ltrim(text, F.lit(BLANKS)))
 
 
 def squeeze(text: Column) -> Column:
     """Lower-cased, white space runs as one space, none at the ends."""
-    return strip(F.regexp_replace(F.lower(text), rf"(?U){SPACE}+", " "))
+
+    def squeezed(t: Column) -> Column:
+        # ASCII words with single spaces between them stay as they are.
+        plain = (F.octet_length(t) == F.length(t)) & ~holds(t, "  ", *BLANKS[:9]) & ~F.startswith(t, F.lit(" ")) & ~F.endswith(t, F.lit(" "))
+        return F.when(plain, F.lower(t)).otherwise(strip(F.regexp_replace(F.lower(t), rf"(?U){SPACE}+", " ")))
+
+    return bind(text, squeezed)
 
 
 def normalize_newlines(raw: Column) -> Column:

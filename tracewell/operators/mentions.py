@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.functions.spans import bind, find_spans, first_of_each, overlaps
+from tracewell.functions.spans import bind, find_spans, first_of_each, folded, holds, overlaps
 from tracewell.functions.text import squeeze
 
 MENTION = "array<struct<start:int,end:int,entity_type:string,score:double,normalized:string,rule:string>>"
@@ -32,9 +32,10 @@ TWO_PART = rf"\b{_SHORT_WORD}\s+{_SHORT_WORD}\b"
 ORGANIZATION = rf"\b{_ORG_WORD}(?:\s+{_ORG_WORD}){{0,5}}\s+{ORG_SUFFIX}\b"
 LOCATION = rf"\b(?:in|at|from)\s+({_PLACE_WORD}(?:\s+{_PLACE_WORD}){{0,2}}(?:,\s*{_PLACE_WORD})?)\b"
 HONORIFIC = r"(?:[Mm][Rr]\.|[Mm][Rr][Ss]\.|[Mm][Ss]\.|[Dd][Rr]\.|[Pp][Rr][Oo][Ff]\.)"
-TITLE_TOKEN = r"\p{Lu}[\p{Ll}]*(?:[.&'\u2019-]\p{Lu}?\p{Ll}*)*"
+#: Possessive: what follows a token can't begin within it.
+TITLE_TOKEN = r"\p{Lu}\p{Ll}*+(?:[.&'\u2019-]\p{Lu}?+\p{Ll}*+)*+"
 RULED_PERSON = rf"(?<![\w]){HONORIFIC}\s+{TITLE_TOKEN}(?:\s+{TITLE_TOKEN})*"
-RULED_ORG = rf"(?<![\w]){TITLE_TOKEN}(?:\s+{TITLE_TOKEN})*\s+(?i:inc\.?|llc|ltd\.?|corp\.?|corporation|company|bank|university)(?![\w])"
+RULED_ORG = rf"(?=\p{{Lu}})(?<![\w]){TITLE_TOKEN}(?:\s+{TITLE_TOKEN})*\s+(?i:inc\.?|llc|ltd\.?|corp\.?|corporation|company|bank|university)(?![\w])"
 NOT_PERSONS = ("Annual Report", "Board Meeting", "Case Number", "Contract Number", "Dear Sir", "Email Subject", "Invoice Number", "New York", "Payment Number")
 NOT_FIRST_WORDS = ("A", "An", "At", "By", "For", "From", "In", "On", "The", "To")
 SCORES = {"email": 0.995, "identifier": 0.98, "titled": 0.90, "organization": 0.91, "location": 0.72, "two-part": 0.70, "ruler": 0.78, "model": 0.92, "header-email": 1.0, "header-name": 0.96}
@@ -48,8 +49,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
 
 EMAIL_J, IDENTIFIER_J = java(EMAIL, True), java(IDENTIFIER, True)
 TITLED_J, TWO_PART_J, ORGANIZATION_J, LOCATION_J = java(TITLED), java(TWO_PART), java(ORGANIZATION), java(LOCATION)
-_SUFFIX_GATE = "Inc|LLC|Ltd|Corp|Company|Bank|University"
-_TITLE_GATE = r"Mr\.|Mrs\.|Ms\.|Dr\.|Prof\."
+_SUFFIXES, _TITLES, _NUMBERED = ("Inc", "LLC", "Ltd", "Corp", "Company", "Bank", "University"), ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof."), ("case", "contract", "invoice", "payment", "account", "claim", "order")
 
 
 def mention(start: Column, end: Column, kind: str | Column, score: float | Column, normalized: Column, rule: str) -> Column:
@@ -66,38 +66,40 @@ def emails(text: Column) -> Column:
     return F.transform(spans, lambda s: mention(s["start"], s["end"], "OTHER", SCORES["email"], F.concat(F.lit("email:"), F.lower(s["hit"])), "email")).cast(MENTION)
 
 
-def identifiers(text: Column) -> Column:
-    spans = find_spans(text, IDENTIFIER_J, text.rlike("(?i)case|contract|invoice|payment|account|claim|order"))
+def identifiers(text: Column, low: Column | None = None) -> Column:
+    """``low``, here and below: the folded text, if it is known."""
+    spans = find_spans(text, IDENTIFIER_J, holds(folded(text) if low is None else low, *_NUMBERED), groups=2)
 
     def one(s: Column) -> Column:
-        value = F.concat_ws(":", F.lower(F.regexp_extract(s["hit"], IDENTIFIER_J, 1)), F.lower(F.regexp_extract(s["hit"], IDENTIFIER_J, 2)))
+        value = F.concat_ws(":", F.lower(F.get(s["groups"], F.lit(0))), F.lower(F.get(s["groups"], F.lit(1))))
         return mention(s["start"], s["end"], "OTHER", SCORES["identifier"], value, "identifier")
 
     return F.transform(spans, one).cast(MENTION)
 
 
 def titled_persons(text: Column) -> Column:
-    return _plain(find_spans(text, TITLED_J, text.rlike(_TITLE_GATE)), "PERSON", SCORES["titled"], "titled")
+    return _plain(find_spans(text, TITLED_J, holds(text, *_TITLES)), "PERSON", SCORES["titled"], "titled")
 
 
 def organizations(text: Column) -> Column:
-    return _plain(find_spans(text, ORGANIZATION_J, text.rlike(_SUFFIX_GATE)), "ORGANIZATION", SCORES["organization"], "organization")
+    return _plain(find_spans(text, ORGANIZATION_J, holds(text, *_SUFFIXES)), "ORGANIZATION", SCORES["organization"], "organization")
 
 
 def locations(text: Column) -> Column:
-    spans = find_spans(text, LOCATION_J, text.rlike(r"(?:in|at|from)\s+[A-Z]"))
+    spans = find_spans(text, LOCATION_J, holds(text, "in", "at", "from"), groups=1)
 
     def one(s: Column) -> Column:
-        place = F.regexp_extract(s["hit"], LOCATION_J, 1)
+        place = F.get(s["groups"], F.lit(0))
         return mention(s["end"] - F.length(place), s["end"], "LOCATION", SCORES["location"], squeeze(place), "location")
 
     return F.transform(spans, one).cast(MENTION)
 
 
-def ruled(text: Column) -> Column:
+def ruled(text: Column, low: Column | None = None) -> Column:
     """Honorific persons and suffixed organisations in title case, whatever the case of honorific and suffix."""
-    persons = _plain(find_spans(text, java(RULED_PERSON), text.rlike(r"(?i)\b(?:mr|mrs|ms|dr|prof)\.")), "PERSON", SCORES["ruler"], "ruler")
-    companies = _plain(find_spans(text, java(RULED_ORG), text.rlike("(?i)inc|llc|ltd|corp|company|bank|university")), "ORGANIZATION", SCORES["ruler"], "ruler")
+    low = folded(text) if low is None else low
+    persons = _plain(find_spans(text, java(RULED_PERSON), holds(low, *map(str.lower, _TITLES))), "PERSON", SCORES["ruler"], "ruler")
+    companies = _plain(find_spans(text, java(RULED_ORG), holds(low, *map(str.lower, _SUFFIXES))), "ORGANIZATION", SCORES["ruler"], "ruler")
     return bind(companies, lambda c: F.concat(F.filter(persons, lambda p: ~F.exists(c, lambda o: overlaps(o, p) & (o["end"] - o["start"] > p["end"] - p["start"]))), c))
 
 
@@ -124,8 +126,11 @@ def dedupe(mentions: Column) -> Column:
 
 def base_mentions(text: Column, model: Column | None = None) -> Column:
     """All mentions that rules (and, if given, a model's spans) find in a text."""
-    first = [ruled(text) if model is None else model.cast(MENTION), emails(text), identifiers(text), titled_persons(text), organizations(text), locations(text)]
-    return bind(F.concat(*first), lambda found: dedupe(F.concat(found, two_part_persons(text, found))))
+    def found(low: Column) -> Column:
+        first = [ruled(text, low) if model is None else model.cast(MENTION), emails(text), identifiers(text, low), titled_persons(text), organizations(text), locations(text)]
+        return bind(F.concat(*first), lambda found: dedupe(F.concat(found, two_part_persons(text, found))))
+
+    return bind(folded(text), found)
 
 
 def explode_mentions(docs: DataFrame, mentions: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

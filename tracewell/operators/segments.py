@@ -33,13 +33,8 @@ def paragraphs(text: Column) -> Column:
 
 def _sentences_of(paragraph: Column) -> Column:
     spans = find_spans(paragraph["hit"], SENTENCE, many=True)
-    full = F.filter(spans, lambda s: strip(s["hit"]) != "")
-
-    def trimmed(s: Column) -> Column:
-        start = paragraph["start"] + s["start"] + leading(s["hit"])
-        return F.struct(start.alias("start"), (start + F.length(strip(s["hit"]))).alias("end"), strip(s["hit"]).alias("hit"))
-
-    return F.transform(full, trimmed)
+    bare = F.transform(spans, lambda s: F.struct((paragraph["start"] + s["start"] + leading(s["hit"])).alias("start"), strip(s["hit"]).alias("hit")))
+    return F.transform(F.filter(bare, lambda s: s["hit"] != ""), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["hit"])).alias("end"), s["hit"].alias("hit")))
 
 
 def sentences(text: Column) -> Column:
